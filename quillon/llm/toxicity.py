@@ -16,8 +16,10 @@ and the number of significant ones gives the probability of label 1.
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import log
 from zlib import crc32
 
 import numpy as np
@@ -78,16 +80,18 @@ class Scores(dict):
     """Token to score; computed when first asked for, and forgotten when there are too many."""
 
     def __init__(self, places: np.ndarray, toxic: np.ndarray, all_: np.ndarray, rate: float):
-        self.places, self.toxic, self.all, self.rate = places, toxic, all_, rate
+        # memoryviews: single items of them are Python numbers
+        self.places, self.toxic, self.all, self.rate = places.data, toxic.data, all_.data, rate
 
     def __missing__(self, token: bytes) -> float:
         if len(self) >= CACHE:
             self.clear()
-        rate, wanted = self.rate, classes(token)
-        for c, i in zip(wanted, np.searchsorted(self.places, wanted).tolist(), strict=True):
+        rate = self.rate
+        for c in classes(token):
+            i = bisect_left(self.places, c)
             if i < len(self.places) and self.places[i] == c:
-                rate = (float(self.toxic[i]) + STRENGTH * rate) / (float(self.all[i]) + STRENGTH)
-        score = self[token] = float(np.log(rate / (1 - rate)) - np.log(self.rate / (1 - self.rate)) - COST)
+                rate = (self.toxic[i] + STRENGTH * rate) / (self.all[i] + STRENGTH)
+        score = self[token] = log(rate / (1 - rate)) - log(self.rate / (1 - self.rate)) - COST
         return score
 
     def of(self, words: list[bytes]) -> np.ndarray:
