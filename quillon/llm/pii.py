@@ -148,10 +148,30 @@ NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])\s?(?:{DOT_WORD})\s?(?=[0-9])")
 MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OoIl]*[0-9])(?=[0-9]*[OoIl])[0-9OoIl]+(?![A-Za-z0-9])|(?<=[0-9]\.)[OoIl](?![A-Za-z0-9])")
 
 
-def _edits(text: str, lower: str) -> list[tuple[int, int, str]]:
-    """The edits for spelled digits, letters among digits, and disguises of @ and dots."""
+#: To tell the words of a text in lower case: letters and digits, all else as a space.
+PLAIN = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+DIGIT_WORDS = frozenset(w.encode() for w in DIGITS)
+DOT_WORDS = frozenset(w.encode() for w in DOT_WORD.split("|"))
+RUN = re.compile(r"[0-9]+")
+
+
+def _letters_in_numbers(text: str) -> bool:
+    """Whether some digits have a letter next to them, or beyond a dot, that may stand for a digit."""
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        if a and text[a - 1] in "OoIl" or text[b : b + 1] in ("O", "o", "I", "l") or text[b : b + 1] == "." and text[b + 1 : b + 2] in ("O", "o", "I", "l"):
+            return True
+    return False
+
+
+def _edits(text: str) -> list[tuple[int, int, str]]:
+    """The edits for spelled digits, letters among digits, and disguises of @ and dots.
+
+    The patterns are run only over texts that have the words they need.
+    """
     found: list[tuple[int, int, str]] = []
-    for m in SPELLED.finditer(text):
+    words = set(text.lower().encode("utf-8", "replace").translate(PLAIN).split())
+    for m in SPELLED.finditer(text) if words & DIGIT_WORDS else ():
         parts = list(SPELLED_PART.finditer(text, *m.span()))
         if sum(bool(p["word"]) for p in parts) < 2:
             continue
@@ -164,16 +184,17 @@ def _edits(text: str, lower: str) -> list[tuple[int, int, str]]:
                 found.append((*p.span(), ""))
     if any(c in text for c in "[({<"):
         found += [(*m.span(), "@" if m["at"] else ".") for m in BRACKETED.finditer(text)]
-    if any(w in lower for w in ("dot", "punkt", "punto", "point")):
+    if words & DOT_WORDS:
         for m in WORDY.finditer(text):
             found += [(*p.span(), "." if p["dot"] else "@") for p in WORDY_PART.finditer(text, *m.span())]
+    if DIGIT.search(text) and any(w in text.lower() for w in DOT_WORD.split("|")):
         found += [(*m.span(), ".") for m in NUMBER_DOT.finditer(text)]
-        if "DOT" in text:
-            for m in CAPITAL.finditer(text):
-                found += [(*p.span(), "@" if p[0] == "AT" else ".") for p in CAPITAL_PART.finditer(text, *m.span())]
+    if "AT" in text and "DOT" in text:
+        for m in CAPITAL.finditer(text):
+            found += [(*p.span(), "@" if p[0] == "AT" else ".") for p in CAPITAL_PART.finditer(text, *m.span())]
     if " @ " in text:
         found += [(*m.span(), "@") for m in SPACED.finditer(text)]
-    if DIGIT.search(text):
+    if _letters_in_numbers(text):
         for m in MIXED.finditer(text):
             found += [(i, i + 1, "0" if text[i] in "Oo" else "1") for i in range(*m.span()) if text[i] in "OoIl"]
     out: list[tuple[int, int, str]] = []
@@ -187,12 +208,15 @@ def _edits(text: str, lower: str) -> list[tuple[int, int, str]]:
 def detector() -> Callable[[str], tuple[list[Span], list[Span]]]:
     """A function from a text to its plain spans and those added by normalising it."""
     table = _characters()
-    odd = re.compile("[" + "".join(map(re.escape, sorted(c for c in table))) + "]")
+
+    def characters(text: str) -> list[tuple[int, int, str]]:
+        odd = [] if text.isascii() else sorted(table.keys() & set(text))
+        return [(*m.span(), table[m[0]]) for m in re.finditer("[" + "".join(map(re.escape, odd)) + "]", text)] if odd else []
 
     def detect(text: str) -> tuple[list[Span], list[Span]]:
         base = plain_spans(text)
-        first = Rewritten(text, [] if text.isascii() else [(*m.span(), table[m[0]]) for m in odd.finditer(text)])
-        second = Rewritten(first.text, _edits(first.text, first.text.lower()))
+        first = Rewritten(text, characters(text))
+        second = Rewritten(first.text, _edits(first.text))
         if not first.edits and not second.edits:
             return base, []
         own = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
