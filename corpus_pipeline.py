@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontam, langid, linededup, mixing, simhash
-from quillon.llm.shared import bounded, stored
+from quillon.llm.shared import bounded, redealt, stored
 
 #: SQL cannot express language ID, SimHash groups and the mix: tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = stored(simhash.near_duplicates(docs.select("doc_id", "text")), "groups")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     keepers = own.where(first).groupBy("root").agg(F.min("mark").alias("chosen"), F.count("*").alias("rows"))
-    judged = own.join(keepers, "root").withColumn("stays", first & (F.col("mark") == F.col("chosen")))
+    judged = own.join(redealt(keepers, "root"), "root").withColumn("stays", first & (F.col("mark") == F.col("chosen")))
     gone = stored(judged.where("not stays").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "gone")
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark"))
     rows = docs.join(bounded(gone), same, "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, stored
+from quillon.llm.shared import discard, redealt, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -46,11 +46,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Ties each neighbour above u to the smallest node around u."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(redealt(low, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Ties u and its neighbours below to the smallest of them."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(low, "u").select(F.explode(F.when(F.col("v") != F.col("m"), F.array("u", "v")).otherwise(F.array("u"))).alias("u"), F.col("m").alias("v"))
+    tied = edges.join(redealt(low, "u"), "u").select(F.explode(F.when(F.col("v") != F.col("m"), F.array("u", "v")).otherwise(F.array("u"))).alias("u"), F.col("m").alias("v"))
     return tied.distinct()

@@ -45,6 +45,22 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def redealt(df: DataFrame, key: str) -> DataFrame:
+    """df, an aggregate by a long key, with the key computed anew.
+
+    A join right above an aggregate takes over its partitions, and then Spark cannot
+    split the partition of a hot key on the other side. With an exchange of its own
+    on either side it can.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small table may come in one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing reads any more."""
     spark = df.sparkSession

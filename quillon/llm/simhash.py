@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quillon.llm.components import connected_components
-from quillon.llm.shared import pieces, stored
+from quillon.llm.shared import pieces, redealt, stored
 
 BITS = 64
 BUCKET_ROWS = 64
@@ -86,7 +86,7 @@ def links(fps: DataFrame, threshold: int = 2, segments: int = 5) -> DataFrame:
     fps = fps.select("fp")
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(_signed(m)) for m in masks[equal - 1]])).alias("start", "key"))
     sizes = keyed.groupBy("start", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(keyed.join(sizes, ["start", "key"]).select("start", "key", "fp", (F.col("n") > BUCKET_ROWS).alias("hot")), "buckets")
+    met = stored(keyed.join(redealt(sizes, "key"), ["start", "key"]).select("start", "key", "fp", (F.col("n") > BUCKET_ROWS).alias("hot")), "buckets")
 
     def allowed(x: Column) -> Column:
         ok = F.lit(True)
@@ -131,5 +131,5 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, threshold:
     named = least.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(named, "named")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(smallest, "root").select("fp", "root", "component_id")
+    labels = named.join(redealt(smallest, "root"), "root").select("fp", "root", "component_id")
     return rows.join(labels, "fp").select("doc_id", "mark", "fp", "root", "component_id")
