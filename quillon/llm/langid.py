@@ -161,8 +161,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
             continue
         vectors = model.weigh(counts)
         own = cluster(vectors, centroids)
-        # far below all that was learnt: half the cosine that one sampled document in a thousand stays under
-        model.floors[i] = 0.5 * np.quantile((vectors @ own.T).max(1), 0.001)
+        # far below all that was learnt: a quarter of the cosine that one sampled document in a thousand stays under
+        model.floors[i] = 0.25 * np.quantile((vectors @ own.T).max(1), 0.001)
         found.append(own)
         owner += [i] * len(own)
     kept = sorted(set(owner))  # a language may have no sampled document

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontam, embeddings, langid, licenses, linededup, mixing, pii, simhash, toxicity, warc
-from quillon.llm.shared import remainder
+from quillon.llm.shared import remainder, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
 def _is(kind: str) -> Callable:
