@@ -102,10 +102,10 @@ def _verifier(threshold: float):
     """Rows sorted by group (dim, group, side, code, rep, weight, codes, vec) to (rep, links) and (rep, other)."""
 
     def pairs(side: np.ndarray, vec: np.ndarray, code: int, own: np.ndarray) -> np.ndarray:
-        """Linked pairs of a group that meet here first: both in it if it has one side, else across its sides."""
+        """Linked pairs of a group that meet here first: within it for side 2, else across sides 0 and 1, of which one may be empty."""
         scaled = vec / np.abs(vec).max(axis=1, keepdims=True)
         unit = scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
-        if side.any() and not side.all():
+        if side[0] != 2:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             a, b = np.nonzero(unit[left] @ unit[right].T >= threshold)
             a, b = left[a], right[b]
@@ -203,10 +203,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     sizes = entries.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
     met = stored(entries.join(redealt(sizes, "code"), bucket).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "met")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    # block b meets every block: as the lower of the two it is side 0, as the higher side 1, with itself side 0
+    # block b meets every block: as the lower of the two it is side 0, as the higher side 1, with itself side 2
     dealt = met.withColumn("own", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "rep", "label", "dim", "code", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), (F.col("own") > F.col("with")).cast("int").alias("side")
+        "rep", "label", "dim", "code", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), F.when(F.col("own") == F.col("with"), 2).when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side")
     )
     full = reps.select("rep", "vec", "weight").join(coded.select("rep", "codes"), "rep")
     group = F.struct("label", "dim", "code", "low", "high")
