@@ -30,7 +30,7 @@ from quillon.llm.shared import slices
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Text of test items, and of training documents, that a worker holds as arrays at once.
 BLOCK_BYTES = 1 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 #: Words of test suffixes that are compared at once.
 COMPARED = 1 << 20
 SPANS = "n_words long, n_hit long, spans array<struct<start:long,stop:long>>, items array<string>, n_items long, longest struct<item:string,item_word:long,doc_word:long,words:long>"
