@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, langid, linededup, mixing, simhash
+from quillon.llm import decontam, langid, linededup, mixing, wide
 from quillon.llm.shared import bounded, redealt, stored
 
 #: SQL cannot express language ID, SimHash groups and the mix: tests hold the stages against brute force.
@@ -33,12 +33,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest doc_id.
+    """One document of each group of near duplicates, by sets of 5-word shingles of similarity 0.8 or more: the smallest doc_id.
 
     If rows of one group share that id, one of them stays. Texts without words are
     one group. A row with a null id stays only in a group of nothing else.
     """
-    own = stored(simhash.near_duplicates(docs.select("doc_id", "text")), "groups")
+    own = stored(wide.near_duplicates(docs.select("doc_id", "text")), "groups")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     keepers = own.where(first).groupBy("root").agg(F.min("mark").alias("chosen"), F.count("*").alias("rows"))
     judged = own.join(redealt(keepers, "root"), "root").withColumn("stays", first & (F.col("mark") == F.col("chosen")))
