@@ -39,7 +39,7 @@ BANDS, BAND_ROWS = 16, 4
 #: Sets of up to so many shingles are compared exactly.
 FEW = 64
 #: Sets that are compared with each other in one task at once.
-BLOCK = 512
+BLOCK = 128
 #: The longest chains of segments that the filter looks at.
 CHAIN = 4
 #: Rows that a Python worker holds.

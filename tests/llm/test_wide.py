@@ -46,7 +46,7 @@ def test_the_filter_loses_nothing():
     assert (wide.chained(apart, 150.0) | (apart.sum(axis=0) > 150)).all()
 
 
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("block", [128, 8])
 def test_groups_equal_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(wide, "BLOCK", block)
     bases = [" ".join(random.choices(WORDS, k=random.choice((3, 30, 300)))) for _ in range(30)]
