@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import columns as c
 from quillon.operators import graph, grep, lookup, maintain, refs, summary
+from quillon.rpc import trimmed
 from quillon.sources.corpus import Corpus
+from quillon.streaming.watch import bursts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -654,3 +657,35 @@ def size_cap(k: Corpus) -> DataFrame:
 @query("select path from files order by relpath limit 25")
 def limit_per_root(k: Corpus) -> DataFrame:
     return k.files().orderBy("relpath").limit(25).select("path")
+
+
+# What SQL needs windows for: answers cut to a budget, and bursts of a stream
+
+
+@query(
+    f"""select path, line, name, kind, score from (
+      select *, 2 + sum(strlen(path) + strlen(name) + strlen(kind) + strlen(line::varchar) + strlen(score::varchar) + 57) over (order by place) + 2 * (place - 1) as size
+      from (select *, row_number() over (order by {ORDER}) as place from symbols where name = 'the' order by {ORDER} limit 100)) where size <= 4000"""
+)
+def budget_trim(k: Corpus) -> DataFrame:
+    found = lookup.definitions(k.symbols(), "the").select(*SHOWN)
+    rows = trimmed([r.asDict() for r in found.collect()], 4000)  # a page of 100 rows
+    return k.spark.createDataFrame([tuple(r[c] for c in SHOWN) for r in rows], found.schema)
+
+
+@query(
+    """select root, files, count(*) as bursts from (
+      select root, n, count(*) as files from (
+        select *, sum(begins) over (partition by root order by ts, event_id) as n from (
+          select event_type as root, ts, event_id, case when ts < lag(ts) over (partition by event_type order by ts, event_id) + interval 10 minutes then 0 else 1 end as begins from events))
+      group by root, n) group by root, files""",
+    base=False,
+)
+def watch_stream(k: Corpus) -> DataFrame:
+    schema = k.table("events").schema
+    events = k.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(k.folder)
+    found = bursts(events.select(F.col("event_type").alias("root"), F.col("ts").cast("timestamp").alias("ts")), "10 minutes")
+    at = f"{graph.shared_folder(k.spark)}/watched-{uuid.uuid4().hex}"
+    writer = found.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state")
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/bursts")).trigger(availableNow=True).start().awaitTermination()
+    return k.spark.read.schema(found.schema).parquet(f"{at}/bursts").groupBy("root", "files").agg(F.count("*").alias("bursts"))
