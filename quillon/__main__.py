@@ -9,20 +9,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from quillon.rpc import Server
+from quillon.operators import lookup, summary
+from quillon.rpc import LIMIT, QueryLog, Server, table
 from quillon.serve import Listener, stdio
-from quillon.sources.tree import Index, count_by_kind, walk
+from quillon.sources import modules
+from quillon.sources.tree import Index, changed_since, count_by_kind, walk
 from quillon.streaming.watch import watch
 
 #: Verbs that ask; each takes one name, prefix, pattern or place.
-QUESTIONS = ("def", "prefix", "fuzzy", "ref", "callers", "subclasses", "impact", "callgraph", "uses", "grep", "outline", "tldr", "coverage", "whereis")
+QUESTIONS = ("def", "prefix", "fuzzy", "ref", "callers", "subclasses", "impact", "callgraph", "uses", "grep", "outline", "tldr", "coverage", "whereis", "owner")
 #: The argument's key where it is not `name`.
-KEYS = {"prefix": "prefix", "fuzzy": "query", "grep": "pattern", "outline": "path", "tldr": "path", "coverage": "path", "whereis": "path"}
+KEYS = {"prefix": "prefix", "fuzzy": "query", "grep": "pattern", "outline": "path", "tldr": "path", "coverage": "path", "whereis": "path", "owner": "path"}
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="quillon", description=__doc__)
     out.add_argument("--index", required=True, help="folder of the index")
+    out.add_argument("--log", help="file that questions are logged to")
     verbs = out.add_subparsers(dest="verb", required=True)
     for verb in QUESTIONS:
         one = verbs.add_parser(verb)
@@ -32,10 +35,22 @@ def parser() -> argparse.ArgumentParser:
         for flag in ("--limit", "--depth", "--distance", "--max-nodes", "--budget"):
             one.add_argument(flag, type=int)
         one.add_argument("-i", "--case-insensitive", action="store_true", default=None)
-        one.add_argument("--regex", action="store_true", default=None)
+        for flag, meaning in (("--regex", None), ("--reachable", "uses from modules that reach a definition"), ("--accumulate", "owner: of all folders above")):
+            one.add_argument(flag, action="store_true", default=None, help=meaning)
+        one.add_argument("--md", action="store_true", help="answer with a Markdown table")
     for verb in ("stats", "health", "compact"):
         verbs.add_parser(verb)
     verbs.add_parser("tombstone").add_argument("path")
+    graph = verbs.add_parser("modules")
+    graph.add_argument("kind", choices=("cargo", "soong", "kernel", "gn", "bazel"))
+    graph.add_argument("root")
+    graph.add_argument("--root-id", type=int, default=0)
+    diff = verbs.add_parser("diff")
+    diff.add_argument("root")
+    diff.add_argument("--since", required=True, metavar="COMMIT")
+    diff.add_argument("--root-id", type=int, default=0)
+    diff.add_argument("--limit", type=int, default=50)
+    verbs.add_parser("index-diff").add_argument("version", help="an earlier version of the index")
     for verb in ("index", "refresh", "count", "watch"):
         one = verbs.add_parser(verb)
         one.add_argument("roots", nargs="+", metavar="PROFILE=PATH", help="a tree and the profile of folders to skip")
@@ -46,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
     serve = verbs.add_parser("serve")
     serve.add_argument("--listen", help="unix:PATH or tcp:HOST:PORT; otherwise standard input and output")
     serve.add_argument("--max-conns", type=int, default=0)
+    serve.add_argument("--warm", action="store_true", help="cache the tables before the first question")
     return out
 
 
@@ -56,27 +72,48 @@ def _roots(given: Sequence[str]) -> dict[str, str]:
     return {path: profile for profile, _, path in pairs}
 
 
+def _hints(index: Index, verb: str, args: dict, rows: list[dict]) -> list[str]:
+    """Names near one that has no definition, or the folder that all rows of a full page share."""
+    narrowed = any(k in args for k in ("lang", "kind", "in", "not_in", "scope"))
+    if not rows and not narrowed and verb in ("def", "ref", "callers", "uses"):
+        near = [r.name for r in lookup.did_you_mean(index.living("symbols"), args["name"]).collect()]
+        return [f"Did you mean: {', '.join(near)}?"] if near else []
+    paths = [r["path"] for r in rows if "path" in r]
+    shared = lookup.narrow_hint(paths) if len(paths) > 1 and len(paths) == args.get("limit", LIMIT) and not narrowed else ""
+    return [f"More may be left out; all of these are below {shared}"] if shared else []
+
+
 def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     """Runs one verb; 0, or 1 after an error reply, or 2 if the index is not healthy."""
     own = vars(parser().parse_args(arguments))
     spark = spark or SparkSession.builder.appName("quillon").getOrCreate()
     index, verb = Index(spark, own["index"]), own["verb"]
+    server = Server(index, QueryLog(own["log"]) if own["log"] else None)
     say = lambda x: print(json.dumps(x))
     if verb in (*QUESTIONS, "stats"):
-        args = {k: v for k, v in own.items() if v is not None and k not in ("index", "verb", "query", "budget")}
+        args = {k: v for k, v in own.items() if v is not None and k not in ("index", "log", "verb", "query", "budget", "md")}
         if verb != "stats":
             args[KEYS.get(verb, "name")] = own["query"]
-        for reply in Server(index).request({"id": 1, "cmd": verb, "args": args, "stream": True, "budget": own.get("budget")}):
-            if "error" in reply:
-                print(reply["error"]["message"], file=sys.stderr)
-                return 1
-            if "hit" in reply or "result" in reply:
-                say(reply.get("hit", reply.get("result")))
+        as_table = own.get("md")
+        reply = next(server.request({"id": 1, "cmd": verb, "args": args, "budget": None if as_table else own.get("budget")}))
+        if "error" in reply:
+            print(reply["error"]["message"], file=sys.stderr)
+            return 1
+        rows = reply["result"] if isinstance(reply["result"], list) else [reply["result"]]
+        if as_table:
+            print(table(rows, own.get("budget")))
+        else:
+            for row in rows:
+                say(row)
+        for hint in _hints(index, verb, args, rows):
+            print(hint, file=sys.stderr)
     elif verb == "serve":
+        if own["warm"]:
+            index.warm()
         if own["listen"]:
-            Listener(Server(index), own["listen"], own["max_conns"]).run()
+            Listener(server, own["listen"], own["max_conns"]).run()
         else:
-            stdio(Server(index))
+            stdio(server)
     elif verb == "health":
         wrong = index.health()
         say({"healthy": not wrong, "wrong": wrong})
@@ -85,6 +122,15 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         say({"version": index.compact()})
     elif verb == "tombstone":
         say({"tombstones": index.tombstone(own["path"])})
+    elif verb == "modules":
+        say({"modules": index.attach(*modules.of_index(index, own["kind"], own["root"], own["root_id"]).tables(spark), own["root_id"])})
+    elif verb == "diff":
+        changed = changed_since(spark, own["root"], own["since"], own["root_id"])
+        for row in summary.changed_symbols(index.living("files"), index.living("symbols"), changed, own["limit"]).toJSON().collect():
+            print(row)
+    elif verb == "index-diff":
+        for row in summary.index_diff(index.table("files", own["version"]), index.table("files")).where("status <> 'unchanged'").orderBy("root_id", "relpath").toJSON().toLocalIterator():
+            print(row)
     else:
         roots, options = _roots(own["roots"]), {"resolve": own["resolve"], "trigrams": not own["no_trigrams"]}
         if verb == "count":

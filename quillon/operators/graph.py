@@ -8,19 +8,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.columns import path_filter
 from quillon.operators.refs import callers, enclosing
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the shared folder; in local mode without one a folder of this machine is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; in local mode without one a folder of this machine is set."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local["):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -59,14 +67,15 @@ def call_edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return inside.groupBy(F.col("name").alias("callee"), "caller_id", F.coalesce("caller", leaf).alias("caller"), "path").agg(F.count("*").alias("call_sites"), F.min("line").alias("first_line"))
 
 
-def callgraph(refs: DataFrame, symbols: DataFrame, name: str, depth: int = 3, max_nodes: int = 200) -> DataFrame:
+def callgraph(refs: DataFrame, symbols: DataFrame, name: str, depth: int = 3, max_nodes: int = 200, inside: str | None = None, outside: str | None = None) -> DataFrame:
     """(level, callee, caller, caller_id, path, call_sites, trail): who calls the name, who calls those, and so on.
 
     Rows stand for the steps of call chains. A chain ends at a caller that is in it
-    already and at calls outside any function. max_nodes bounds the whole result, in
-    the order of level, path, first line and caller, so that the cut is the same in each run.
+    already and at calls outside any function. Paths are filtered on every level. max_nodes
+    bounds the whole result, in the order of level, path, first line and caller, so that
+    the cut is the same in each run.
     """
-    edges = cut(call_edges(refs, symbols))
+    edges = cut(call_edges(refs.where(path_filter(F.col("path"), inside, outside)), symbols))
     level = edges.where(F.col("callee") == name).withColumn("trail", F.array(F.coalesce("caller_id", F.lit("")))).withColumn("level", F.lit(1))
     out, frontier = level, level
     for k in range(2, depth + 1):
@@ -81,10 +90,10 @@ def callgraph(refs: DataFrame, symbols: DataFrame, name: str, depth: int = 3, ma
     return out.orderBy(*order).limit(max_nodes)
 
 
-def impact(refs: DataFrame, symbols: DataFrame, name: str, depth: int = 2) -> DataFrame:
-    """(path, callers, subclasses): the files that a change of the name touches."""
+def impact(refs: DataFrame, symbols: DataFrame, name: str, depth: int = 2, every: DataFrame | None = None) -> DataFrame:
+    """(path, callers, subclasses): the files that a change of the name touches. Subclasses come from `every`, if refs leave some out."""
     called = callers(refs, name).groupBy("path").agg(F.count("*").alias("callers"))
-    derived = subclasses(refs, symbols, name, depth).groupBy("path").agg(F.count("*").alias("subclasses"))
+    derived = subclasses(refs if every is None else every, symbols, name, depth).groupBy("path").agg(F.count("*").alias("subclasses"))
     both = called.join(derived, "path", "full_outer")
     return both.select("path", F.coalesce("callers", F.lit(0)).cast("long").alias("callers"), F.coalesce("subclasses", F.lit(0)).cast("long").alias("subclasses"))
 

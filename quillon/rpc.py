@@ -7,6 +7,7 @@ index, over one Spark session.
 from __future__ import annotations
 
 import json
+import os
 import time
 from collections.abc import Iterable, Iterator
 
@@ -43,9 +44,33 @@ def table(rows: list[dict], budget: int | None = None) -> str:
     return "\n".join(lines)
 
 
+def fitted(row: dict, budget: int) -> dict:
+    """A row of a stream without as many optional fields as it takes to fit so many bytes of JSON."""
+    for key in TRIMMED:
+        if len(json.dumps(row)) <= budget:
+            break
+        row = {k: v for k, v in row.items() if k != key}
+    return row
+
+
+class QueryLog:
+    """Lines of JSON at the end of a file of the driver. Above max_bytes (0: never) the file is moved to NAME.1 and begun anew."""
+
+    def __init__(self, path: str, max_bytes: int = 100 << 20):
+        self.path, self.max_bytes = path, max_bytes
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+
+    def append(self, entry: dict) -> None:
+        if self.max_bytes and os.path.exists(self.path) and os.path.getsize(self.path) > self.max_bytes:
+            os.replace(self.path, f"{self.path}.1")
+        with open(self.path, "a", encoding="utf-8") as file:
+            file.write(json.dumps(entry) + "\n")
+
+
 class Server:
-    def __init__(self, index: Index, log: list[dict] | None = None):
+    def __init__(self, index: Index, log: list[dict] | QueryLog | None = None):
         self.index, self.log = index, log if log is not None else []
+        self._files: tuple[str | None, int] | None = None
 
     def request(self, line: str | dict) -> Iterator[dict]:
         """The replies to a request: one, or with `stream` one for each hit and one at the end."""
@@ -66,11 +91,12 @@ class Server:
             yield {"id": own, "error": {"code": -32602, "message": str(e)}}
             return
         rows = [json.loads(x) for x in result.toJSON().collect()] if isinstance(result, DataFrame) else result
-        self.log.append({"ts": int(began), "cmd": message["cmd"], "query": self._name(args), "hits": len(rows) if isinstance(rows, list) else 1, "elapsed_ms": int(1000 * (time.time() - began))})
-        budget = message.get("budget")
+        hits, budget, streamed = len(rows) if isinstance(rows, list) else 1, int(message.get("budget") or 0), bool(message.get("stream"))
         if isinstance(rows, list) and budget:
-            rows = trimmed(rows, int(budget))
-        if message.get("stream") and isinstance(rows, list):
+            rows = [fitted(r, budget) for r in rows] if streamed else trimmed(rows, budget)
+        entry = {"ts": int(began), "cmd": message["cmd"], "query": self._name(args), "hits": hits, "shown": len(rows) if isinstance(rows, list) else 1}
+        self.log.append(entry | {"files_total": self._total(), "elapsed_ms": int(1000 * (time.time() - began)), "index": self.index.folder, "version": self.index.version(), "pid": os.getpid()})
+        if streamed and isinstance(rows, list):
             for row in rows:
                 yield {"id": own, "hit": row}
             yield {"id": own, "done": True, "shown": len(rows)}
@@ -86,14 +112,24 @@ class Server:
     def _name(args: dict) -> str:
         return next((args[k] for k in ("name", "prefix", "query", "pattern", "path") if k in args), "")
 
+    def _total(self) -> int:
+        """The number of files of the current version, counted once."""
+        version = self.index.version()
+        if self._files is None or self._files[0] != version:
+            self._files = (version, self.index.table("files").count())
+        return self._files[1]
+
     def _filters(self, args: dict) -> dict:
         return {"inside": args.get("in"), "outside": args.get("not_in"), "limit": int(args.get("limit", LIMIT))}
 
     def _symbols(self) -> DataFrame:
         return self.index.living("symbols")
 
-    def _refs(self) -> DataFrame:
-        return self.index.living("refs")
+    def _refs(self, args: dict) -> DataFrame:
+        """The uses; with `reachable` those from whose module a definition of the name can be reached, if the index has a module graph."""
+        found = self.index.living("refs")
+        known = self.index.modules() if args.get("reachable") else None
+        return graph.reachable(found, args["name"], self._symbols(), *known) if known else found
 
     def do_def(self, args: dict) -> DataFrame:
         return lookup.definitions(self._symbols(), args["name"], args.get("lang"), args.get("kind"), every_package=True, **self._filters(args))
@@ -105,7 +141,7 @@ class Server:
         return lookup.fuzzy(self._symbols(), self._name(args), int(args.get("distance", 2)), **self._filters(args))
 
     def do_ref(self, args: dict) -> DataFrame:
-        found = refs.find(self._refs(), args["name"], args.get("kind"), args.get("lang"), args.get("scope"), args.get("in"), args.get("not_in"))
+        found = refs.find(self._refs(args), args["name"], args.get("kind"), args.get("lang"), args.get("scope"), args.get("in"), args.get("not_in"))
         form, limit = args.get("format"), int(args.get("limit", LIMIT))
         if form == "count":
             return found.agg(F.count("*").alias("count"))
@@ -119,19 +155,19 @@ class Server:
         return self.do_ref(args | {"kind": "call"})
 
     def do_subclasses(self, args: dict) -> DataFrame:
-        return graph.subclasses(self._refs(), self._symbols(), args["name"], int(args.get("depth", 0))).limit(int(args.get("limit", LIMIT)))
+        return graph.subclasses(self._refs({}), self._symbols(), args["name"], int(args.get("depth", 0))).limit(int(args.get("limit", LIMIT)))
 
     def do_impact(self, args: dict) -> DataFrame:
-        return graph.impact(self._refs(), self._symbols(), args["name"], int(args.get("depth", 2))).orderBy("path").limit(int(args.get("limit", LIMIT)))
+        return graph.impact(self._refs(args), self._symbols(), args["name"], int(args.get("depth", 2)), self._refs({})).orderBy("path").limit(int(args.get("limit", LIMIT)))
 
     def do_callgraph(self, args: dict) -> DataFrame:
-        return graph.callgraph(self._refs(), self._symbols(), args["name"], int(args.get("depth", 3)), int(args.get("max_nodes", 200)))
+        return graph.callgraph(self._refs(args), self._symbols(), args["name"], int(args.get("depth", 3)), int(args.get("max_nodes", 200)), args.get("in"), args.get("not_in"))
 
     def do_uses(self, args: dict) -> DataFrame:
-        return refs.uses(self._refs(), self._symbols(), args["name"], args.get("kind")).orderBy("path", "line", "col").limit(int(args.get("limit", LIMIT)))
+        return refs.uses(self._refs({}), self._symbols(), args["name"], args.get("kind")).orderBy("path", "line", "col").limit(int(args.get("limit", LIMIT)))
 
     def do_grep(self, args: dict) -> DataFrame:
-        return grep.search(self.index.texts(), self._name(args), bool(args.get("case_insensitive")), args.get("regex"), args.get("lang"), per_file=16, **self._filters(args))
+        return grep.search(self.index.texts(), self._name(args), bool(args.get("case_insensitive")), args.get("regex"), args.get("lang"), postings=self.index.postings(), per_file=16, **self._filters(args))
 
     def _file(self, args: dict) -> str:
         found = lookup.resolve_path(self.index.living("files"), self._name(args)).collect()
@@ -152,7 +188,11 @@ class Server:
         return summary.coverage(self.index.living("files"), self._symbols(), self._name(args))
 
     def do_stats(self, args: dict) -> dict:
-        return {"files": self.index.living("files").count(), "symbols": self._symbols().count(), "refs": self._refs().count(), "version": self.index.version()}
+        return {"files": self.index.living("files").count(), "symbols": self._symbols().count(), "refs": self._refs({}).count(), "version": self.index.version()}
+
+    def do_owner(self, args: dict) -> DataFrame:
+        self._file(args)
+        return self.index.owners(self._name(args), "all" if args.get("accumulate") else "nearest")
 
     def do_whereis(self, args: dict) -> DataFrame:
         path, byte, line, col = lookup.parse_place(self._name(args))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import subprocess
 import uuid
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import classify, fqn_index, fqn_live, looks_binary, symbol_id
 from quillon.functions.schema import SKIPPED
-from quillon.operators import grep, lookup, maintain, refs
+from quillon.operators import graph, grep, lookup, maintain, refs, summary
 from quillon.sources.extract import extracted
 
 MAX_BYTES = 100 << 20
 TABLES = ("files", "contents", "symbols", "refs", "trigrams", "errors")
+#: Tables of an attached module graph; they name files by root and relative path, so a new version can take them over.
+GRAPH = ("modules", "module_deps", "module_files", "module_reach")
 
 
 def walk(spark: SparkSession, roots: dict[str, str], max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -39,6 +43,13 @@ def walk(spark: SparkSession, roots: dict[str, str], max_bytes: int = MAX_BYTES)
     return out
 
 
+def changed_since(spark: SparkSession, root: str, commit: str, root_id: int = 0) -> DataFrame:
+    """(root_id, relpath): files that git says differ between a commit and HEAD; none if the root is no work tree."""
+    done = subprocess.run(["git", "-C", root, "diff", "--name-only", "--relative", "-z", f"{commit}..HEAD", "--"], capture_output=True, check=False)
+    names = done.stdout.decode("utf-8", "replace").split("\0") if done.returncode == 0 else []
+    return spark.createDataFrame([(root_id, n) for n in names if n], "root_id int, relpath string")
+
+
 def count_by_kind(walked: DataFrame) -> DataFrame:
     return walked.groupBy("lang").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
@@ -74,9 +85,43 @@ class Index:
     def table(self, name: str, version: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{version or self.version()}/{name}")
 
+    def has(self, name: str) -> bool:
+        fs, path = self._file(f"{self.version()}/{name}")
+        return fs.exists(path)
+
     def tombstoned(self) -> DataFrame:
-        fs, path = self._file(f"{self.version()}/tombstones")
-        return self.table("tombstones") if fs.exists(path) else self.spark.createDataFrame([], "file_id long")
+        return self.table("tombstones") if self.has("tombstones") else self.spark.createDataFrame([], "file_id long")
+
+    def postings(self) -> DataFrame | None:
+        """The trigram index, if this version has one."""
+        return self.table("trigrams") if self.has("trigrams") else None
+
+    def attach(self, modules: DataFrame, deps: DataFrame, files: DataFrame, root_id: int = 0) -> int:
+        """Keeps a module graph, with its closure, beside the tables: modules (module_id, name), deps (src, dst) and files (relpath, module_id) of a root. The number of modules."""
+        tables = (modules, deps, files.select(F.lit(root_id).alias("root_id"), "relpath", "module_id"), graph.reach(modules, deps))
+        for name, df in zip(GRAPH, tables, strict=True):
+            df.write.mode("overwrite").parquet(f"{self.folder}/{self.version()}/{name}")
+        return self.table("modules").count()
+
+    def modules(self) -> tuple[DataFrame, DataFrame] | None:
+        """(file_id, module_id) and the closure (src, dst) of the attached module graph, if there is one."""
+        if not self.has("module_reach"):
+            return None
+        files = self.living("files").select("file_id", "root_id", "relpath")
+        return files.join(self.table("module_files"), ["root_id", "relpath"]).select("file_id", "module_id"), self.table("module_reach")
+
+    def owners(self, argument: str, mode: str = "nearest") -> DataFrame:
+        """(path, depth, email): who owns a file, by the OWNERS files of the folders above it."""
+        file = lookup.resolve_path(self.living("files"), argument)
+        above = [str(p) for row in file.collect() for p in PurePosixPath(row.path).parents]
+        found = self.texts().where(F.col("path").isin([f"{p.rstrip('/')}/OWNERS" for p in above])).collect()
+        rows = [(r.path.rsplit("/", 1)[0], *(parsed[k] for k in ("emails", "noparent"))) for r in found for parsed in [summary.parse_owners(r.text)]]
+        named = self.spark.createDataFrame(rows, "dir string, emails array<string>, noparent boolean")
+        return summary.owners(file, named, mode).select("path", "depth", "email").orderBy("depth", "email")
+
+    def warm(self) -> int:
+        """Caches the tables that questions read most; the number of definitions and uses."""
+        return sum(self.table(name).cache().count() for name in ("symbols", "refs"))
 
     def living(self, name: str) -> DataFrame:
         return maintain.living(self.table(name), self.tombstoned())
@@ -141,6 +186,9 @@ class Index:
         if trigrams:
             texts = files.select("file_id", F.decode("content", "UTF-8").alias("text"))
             grep.grams_of(texts).repartitionByRange("g").sortWithinPartitions("g", "file_id").write.parquet(f"{at}/trigrams")
+        if old is not None:
+            for name in filter(self.has, GRAPH):
+                self.table(name, old).write.parquet(f"{at}/{name}")
         self._point(version)
         return version
 
@@ -164,9 +212,8 @@ class Index:
 
     def compact(self) -> str:
         """A new version without the rows of files that have a tombstone."""
-        fs, _ = self._file("current")
-        names = [n for n in (*TABLES, "rows", "walked") if fs.exists(self._file(f"{self.version()}/{n}")[1])]
-        return self.publish({n: self.living(n) for n in names})
+        names = [n for n in (*TABLES, "rows", "walked") if self.has(n)]
+        return self.publish({n: self.living(n) for n in names} | {n: self.table(n) for n in GRAPH if self.has(n)})
 
     def health(self) -> list[str]:
         """What is wrong with the current version: nothing, if the list is empty."""
@@ -174,8 +221,7 @@ class Index:
             return ["no current version"]
         wrong = []
         for name in ("files", "contents", "symbols", "refs"):
-            fs, path = self._file(f"{self.version()}/{name}")
-            if not fs.exists(path):
+            if not self.has(name):
                 wrong.append(f"table {name} is missing")
         if not wrong and not self.table("symbols").join(self.table("files"), "file_id", "left_anti").isEmpty():
             wrong.append("symbols of unknown files")

@@ -1,14 +1,15 @@
 """Trees indexed from disk, and the questions asked of them."""
 
 import json
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import graph, grep, lookup, refs, summary
-from quillon.rpc import Server, trimmed
+from quillon.rpc import QueryLog, Server, fitted, trimmed
 from quillon.sources import modules
-from quillon.sources.tree import Index, count_by_kind, walk
+from quillon.sources.tree import Index, changed_since, count_by_kind, walk
 from quillon.streaming.watch import bursts, watch
 
 FILES = {
@@ -224,3 +225,67 @@ def test_reach(spark):
 def test_narrow_hint():
     assert lookup.narrow_hint(["/a/b/c.x", "/a/b/d/e.x"]) == "/a/b"
     assert lookup.narrow_hint([]) == ""
+
+
+def test_module_graph_of_an_index(spark, tmp_path):
+    root = tmp_path / "t"
+    for crate, target in (("a", "b"), ("b", None), ("c", None)):
+        (root / crate / "src").mkdir(parents=True)
+        (root / crate / "Cargo.toml").write_text(f'[package]\nname = "{crate}"\n' + (f'[dependencies]\n{target} = {{ path = "../{target}" }}\n' if target else ""))
+        (root / crate / "src" / "lib.rs").write_text("fn probe() {}\n" if crate == "b" else "fn run() { probe(); }\n")
+    (root / "OWNERS").write_text("top@x\n")
+    (root / "a" / "OWNERS").write_text("a@x\n")
+    (root / "b" / "OWNERS").write_text("set noparent\nb@x\n")
+    index = Index(spark, str(tmp_path / "i"))
+    index.build({str(root): "generic"})
+    assert index.modules() is None
+    server = Server(index)
+    ask = lambda cmd, **args: next(server.request({"id": 7, "cmd": cmd, "args": args}))["result"]
+    crates = lambda rows: {r["path"].split("/")[-3] for r in rows}
+    assert crates(ask("callers", name="probe", reachable=True)) == {"a", "c"}  # no graph: no filter
+    assert index.attach(*modules.of_index(index, "cargo", str(root)).tables(spark)) == 3
+    assert crates(ask("callers", name="probe")) == {"a", "c"}
+    assert crates(ask("callers", name="probe", reachable=True)) == crates(ask("callgraph", name="probe", reachable=True)) == {"a"}
+    assert crates(ask("callgraph", name="probe", not_in="/a/")) == {"c"}
+    assert crates(ask("impact", name="probe", reachable=True)) == {"a"}
+    (root / "c" / "src" / "lib.rs").write_text("fn run() { probe(); probe(); }\n")
+    index.refresh({str(root): "generic"})
+    assert crates(ask("callers", name="probe", reachable=True)) == {"a"}
+    index.compact()
+    assert crates(ask("callers", name="probe", reachable=True)) == {"a"}
+    emails = lambda **args: [r["email"] for r in ask("owner", **args)]
+    assert emails(path="a/src/lib.rs") == ["a@x"]
+    assert emails(path="a/src/lib.rs", accumulate=True) == ["a@x", "top@x"]
+    assert emails(path="b/src/lib.rs", accumulate=True) == ["b@x"]
+    assert emails(path="c/src/lib.rs") == ["top@x"]
+    assert index.warm() > 0
+    with pytest.raises(ValueError):
+        modules.of_index(index, "gn", str(root))
+    (root / "project.json").write_text('{"targets": {"//a": {"sources": ["//a/src/lib.rs"]}}}')
+    assert modules.of_index(index, "gn", str(root)).files == {"a/src/lib.rs": 0}
+
+
+def test_changes_by_git(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    assert changed_since(spark, str(tmp_path), "HEAD").isEmpty()
+    git("init")
+    for text in ("one", "two"):
+        (tmp_path / "été a.py").write_text(text)
+        git("add", "-A")
+        git("commit", "-m", text)
+    assert [tuple(r) for r in changed_since(spark, str(tmp_path), "HEAD~1", 3).collect()] == [(3, "été a.py")]
+
+
+def test_query_log_is_moved_when_it_is_full(tmp_path):
+    log = QueryLog(str(tmp_path / "d" / "q.log"), max_bytes=30)  # a line has 23
+    for n in range(3):
+        log.append({"cmd": "def", "n": n})
+    lines = lambda name: [json.loads(x)["n"] for x in (tmp_path / "d" / name).read_text().splitlines()]
+    assert (lines("q.log.1"), lines("q.log")) == ([0, 1], [2])
+
+
+def test_rows_of_a_stream_are_cut_each():
+    row = {"name": "a", "snippet": "x" * 100, "scope_path": ["s"]}
+    assert fitted(row, 1000) == row
+    assert fitted(row, 60) == {"name": "a", "scope_path": ["s"]}
+    assert fitted(row, 1) == {"name": "a"}

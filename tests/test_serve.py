@@ -71,7 +71,7 @@ def test_connections_above_the_limit_are_told(server):
             assert "result" in asked(one, ASK)
 
 
-def test_commands(spark, folder, capsys):
+def test_commands(spark, folder, capsys, tmp_path):
     def run(*arguments):
         code = main(["--index", folder, *arguments], spark)
         return code, [json.loads(x) for x in capsys.readouterr().out.splitlines()]
@@ -82,6 +82,19 @@ def test_commands(spark, folder, capsys):
     assert run("stats")[1][0]["files"] == 1
     assert run("health") == (0, [{"healthy": True, "wrong": []}])
     assert run("outline", "no/such/file.py")[0] == 1
+    assert main(["--index", folder, "def", "twice", "--md"], spark) == 0
+    assert "| twice |" in capsys.readouterr().out
+    assert main(["--index", folder, "def", "twize"], spark) == 0
+    assert "twice" in capsys.readouterr().err
+    log = tmp_path / "log"
+    assert main(["--index", folder, "--log", str(log), "def", "twice"], spark) == 0
+    entry = json.loads(log.read_text())
+    assert (entry["cmd"], entry["hits"], entry["shown"], entry["files_total"]) == ("def", 1, 1, 1)
+    capsys.readouterr()
+    assert run("modules", "kernel", "/none") == (0, [{"modules": 0}])
+    version = run("compact")[1][0]["version"]
+    assert run("index-diff", version) == (0, [])
+    assert run("diff", str(tmp_path), "--since", "HEAD") == (0, [])
     assert run("tombstone", "m.py")[1] == [{"tombstones": 1}]
     assert run("def", "twice")[1] == []
     with pytest.raises(ValueError):
