@@ -42,13 +42,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     keepers = own.where(first).groupBy("root").agg(F.min("mark").alias("chosen"), F.count("*").alias("rows"))
     judged = own.join(redealt(keepers, "root"), "root").withColumn("stays", first & (F.col("mark") == F.col("chosen")))
-    gone = stored(judged.where("not stays").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "gone")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark"))
-    rows = docs.join(bounded(gone), same, "left_anti")
+    gone = bounded(stored(judged.where("not stays").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "gone"))
+    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_mark"])
+    rows = docs.join(gone, same, "left_anti")
     again = stored(judged.where("stays and rows > 1").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "again")
     if again.isEmpty():
         return rows
-    same = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(rows["text"]) == F.col("_mark"))
+    same = rows["doc_id"].eqNullSafe(again["_id"]) & (F.xxhash64(rows["text"]) == again["_mark"])
     one = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return rows.join(again, same, "left_anti").unionByName(one)
 

@@ -93,21 +93,24 @@ def assign(docs: DataFrame, size: str | None = None, weights: Sequence[float] =
     new = ["size", "source_size", "target", "taken", "positions"]
     words = F.col(size) if size else word_count("text")
     kept = [c for c in docs.columns if c not in new]
-    rows = docs.select(*kept, words.alias("_size"), F.xxhash64(F.lit("mix"), "doc_id").alias("_hash"))
+    # docs' columns travel as one, so that their names meet none of those below
+    rows = docs.select(F.struct(*kept).alias("_row"), words.alias("_size"), F.xxhash64(F.lit("mix"), "doc_id").alias("_hash"))
+    source, doc_id = F.col("_row").getField("source"), F.col("_row").getField("doc_id")
     buckets = max(LEAST_BUCKETS, docs.count() // BUCKET_ROWS)
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
-    parts = stored(rows.groupBy(F.col("source").alias("_source"), "_bucket").agg(F.sum("_size").alias("_part")), "parts")
+    parts = stored(rows.groupBy(source.alias("_source"), "_bucket").agg(F.sum("_size").alias("_part")), "parts")
     goals = targets(parts.groupBy(F.col("_source").alias("source")).agg(F.sum("_part").alias("source_size")), weights, cap).withColumnRenamed("source", "_of")
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_base", F.coalesce(F.sum("_part").over(before), F.lit(0)))
     parts = stored(parts.join(goals, F.col("_source").eqNullSafe(F.col("_of"))).select("_source", F.col("_bucket").alias("_b"), "_base", "source_size", "target", "kind"), "offsets")
-    placed = rows.join(bounded(parts), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
-    running = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(bounded(parts), source.eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
+    running = Window.partitionBy(source, "_bucket").orderBy("_hash", doc_id, "_size").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("_base") + F.coalesce(F.sum("_size").over(running), F.lit(0)) + F.col("_size") / 2
     placed = placed.withColumn("_middle", middle)
     readings = F.filter(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda j: F.col("_middle") + j * F.col("source_size")), lambda m: m < F.col("target"))
     positions = F.transform(readings, lambda m: training_time(m / F.col("target"), F.col("kind"), schedule))
-    return placed.select(*kept, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size(readings)).alias("taken"), positions.alias("positions"))
+    read = placed.select("_row", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size(readings)).alias("taken"), positions.alias("positions"))
+    return read.select(*[F.col("_row").getField(c).alias(c) for c in kept], *new)
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:

@@ -306,3 +306,14 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert [r.position for r in out] == sorted(r.position for r in out)
     assert {r.doc_id for r in out} <= {r.doc_id for r in docs.collect()} and len({r.doc_id for r in out}) > 100
+
+
+def test_clashing_names(spark):
+    """Extra columns named as the operators' own helpers pass unchanged."""
+    names = "kind key n fp mark root component_id _id _mark _row _hash _size _bucket _source _b _base _middle _part _of first label least again rows chosen level most".split()
+    docs = spark.createDataFrame([(i, f"word{i % 3} alpha beta gamma delta epsilon zeta", "en", f"s{i % 2}", 9) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    mixed = mixing.assign(docs).collect()
+    assert len(mixed) == 9 and {r.size for r in mixed} == {7} and all(r[n] == n for r in mixed for n in names)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1, 2] and all(r[n] == n for r in kept for n in names)
