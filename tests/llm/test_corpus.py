@@ -270,6 +270,15 @@ def test_mix(spark):
     assert [r.taken for r in mixing.assign(spark.createDataFrame([(1, "a", None)], "doc_id long, source string, text string")).collect()] == [0]
 
 
+def test_op8_returns_the_training_order(spark):
+    out = queries.op8_mixing(spark, SF).collect()
+    assert len(out) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(r.taken == r.size * len(r.positions) and list(r.positions) == sorted(r.positions) for r in out)
+    keys = [(not r.positions, r.positions[0] if r.positions else 0, r.doc_id) for r in out]
+    assert keys == sorted(keys) and {len(r.positions) for r in out} > {0}
+    assert all(0 <= p <= 1 for r in out for p in r.positions)
+
+
 def test_training_time_inverts_the_schedule(spark):
     knots = np.linspace(0, 1, 2001)
     for kind in range(3):
