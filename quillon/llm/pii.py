@@ -140,8 +140,10 @@ BRACKETED = re.compile(rf"(?i)\s{{0,2}}[\[({{<]\s{{0,2}}(?:(?P<at>{AT_WORD}|@)|(
 #: name at host dot tld, with blanks, hyphens or underscores around the words; @ or dots may be plain or not, but one is a word
 # Words after which `at` is plain English.
 PLAIN_AFTER_AT = "the a an this that these those my our your his her its their each any all some no least most first last home work noon night"
-NAME, HOST = r"[A-Za-z0-9][A-Za-z0-9.%+]{0,63}", r"[A-Za-z0-9]{1,63}"
-WORDY = re.compile(rf"(?<![\w@.])(?:{NAME})(?:(?P<gap>[ _-])(?i:dot|punkt|punto|point)(?P=gap)(?:{NAME})){{0,3}}(?:[ _-](?i:at|arroba)[ _-](?!(?i:{PLAIN_AFTER_AT.replace(' ', '|')})[ _-])|\s?@\s?)(?:{HOST})(?:(?:[ _-](?i:dot|punkt|punto|point)[ _-])(?:{HOST})){{1,4}}(?!\w)")
+#: in names and hosts, a hyphen or underscore that stands before one of the words belongs to the word
+JOINED = r"(?!(?i:at|arroba|dot|punkt|punto|point)[ _-])"
+NAME, HOST = rf"[A-Za-z0-9](?:[A-Za-z0-9.%+]|[_-]{JOINED}){{0,63}}", rf"[A-Za-z0-9](?:[A-Za-z0-9]|-{JOINED}){{0,62}}"
+WORDY = re.compile(rf"(?<![\w@.])(?:{NAME})(?:(?P<gap>[ _-])(?i:dot|punkt|punto|point)(?P=gap)(?:{NAME})){{0,3}}(?:(?P<sep>[ _-])(?i:at|arroba)[ _-](?!(?i:{PLAIN_AFTER_AT.replace(' ', '|')})(?P=sep))|\s?@\s?)(?:{HOST})(?:(?:[ _-](?i:dot|punkt|punto|point)[ _-])(?:{HOST})){{1,4}}(?!\w)")
 WORDY_PART = re.compile(r"[ _-](?i:(?P<dot>dot|punkt|punto|point)|(?P<at>at|arroba))[ _-]|(?P<sign>\s@\s?|@\s)")
 CAPITAL = re.compile(r"(?<![\w@.])[a-z0-9._%+-]{1,64}AT[a-z0-9-]{1,63}(?:DOT[a-z0-9-]{1,63}){1,4}(?!\w)")
 CAPITAL_PART = re.compile(r"AT|DOT")

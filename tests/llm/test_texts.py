@@ -51,6 +51,11 @@ DISGUISED = [
     ("ring +1 (555) O12-3456 ok", "phone", "+1 (555) O12-3456"),
     ("+49 ３０ １２３４５６", "phone", "+49 ３０ １２３４５６"),
     ("joe @ example.com", "email", "joe @ example.com"),
+    ("ask john_smith at example dot com soon", "email", "john_smith at example dot com"),
+    ("ask john at my-host dot com soon", "email", "john at my-host dot com"),
+    ("ask a.b at mail dot my-host dot com soon", "email", "a.b at mail dot my-host dot com"),
+    ("ask john_smith_at_my-host_dot_com soon", "email", "john_smith_at_my-host_dot_com"),
+    ("ask john-smith-at-example-dot-com soon", "email", "john-smith-at-example-dot-com"),
 ]
 
 
