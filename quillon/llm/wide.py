@@ -1,11 +1,12 @@
-"""Near-duplicates by the similarity of sets of word shingles, estimated from wide SimHash fingerprints.
+"""Near-duplicates by the similarity of sets of word shingles, found by wide SimHash fingerprints.
 
 A 64-bit fingerprint tells sets of Jaccard similarity 0.8 from others by no
 radius that exact keys can serve: they differ in 10 bits. Here a fingerprint has
-1024 bits, and two sets are linked if the angle that its Hamming distance
-estimates stands for the similarity asked for (cosine and sizes give the
-Jaccard similarity; 1.5 standard deviations are allowed). Sets of up to FEW
-shingles travel whole and are compared exactly.
+1024 bits, and two sets are worth comparing if the angle that its Hamming distance
+estimates may stand for the similarity asked for (cosine and sizes give the
+Jaccard similarity; ALLOWED standard deviations are added). All links are then
+decided by the sets themselves. Sets of up to FEW shingles travel whole; of
+the others only those that some pair needs are made again from their texts.
 
 Candidates share a key: the least of four permuted hashes, in 16 bands, which
 sets of similarity 0.8 miss with a chance of 0.0002. Pairs of a bucket pass the
@@ -21,7 +22,7 @@ of which both sets are linked to the same one, so no component falls apart.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -31,19 +32,21 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quillon.llm.components import connected_components
-from quillon.llm.shared import pieces, redealt, stored
+from quillon.llm.shared import bounded, pieces, redealt, slices, stored
 
 SEGMENTS = 16
 BITS = 64 * SEGMENTS
 BANDS, BAND_ROWS = 16, 4
-#: Sets of up to so many shingles are compared exactly.
+#: Sets of up to so many shingles travel with their fingerprints and are compared without them.
 FEW = 64
+#: Standard deviations by which the radius is widened: of pairs just similar enough, 3 in 100,000 lie beyond.
+ALLOWED = 4.0
 #: Sets that are compared with each other in one task at once.
 BLOCK = 128
 #: The longest chains of segments that the filter looks at.
 CHAIN = 4
-#: Rows that a Python worker holds.
-HELD = 8192
+#: Rows, and bytes of them, from which on a Python worker goes through what it holds.
+HELD, HELD_BYTES = 8192, 32 << 20
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -92,6 +95,15 @@ def keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(least[i : i + BAND_ROWS].tobytes(), i) for i in range(0, len(least), BAND_ROWS)], np.uint64).view(np.int64)
 
 
+def _whole(width: int, seed: int):
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [shingles(t.as_py(), width, seed).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    return hashed
+
+
 def _hashed(width: int, seed: int):
     names = ["doc_id", "mark", "node", "n", "fp", "few", "keys"]
 
@@ -110,10 +122,10 @@ def _hashed(width: int, seed: int):
 
 
 def radius(similarity: float, a: np.ndarray | int = 1, b: np.ndarray | int = 1) -> np.ndarray:
-    """Bits in which fingerprints of sets of a and b shingles may differ; equal sizes have the widest radius."""
+    """Bits in which fingerprints of sets of a and b shingles that are worth comparing may differ; equal sizes have the widest radius."""
     cosine = np.minimum(similarity / (1 + similarity) * (a + b) / np.sqrt(np.multiply(a, b, dtype=np.float64)), 1)
     p = np.arccos(cosine) / math.pi
-    return BITS * p + 1.5 * np.sqrt(BITS * p * (1 - p))
+    return BITS * p + ALLOWED * np.sqrt(BITS * p * (1 - p))
 
 
 def chained(apart: np.ndarray, threshold: float) -> np.ndarray:
@@ -132,32 +144,48 @@ def chained(apart: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def linked(fps: np.ndarray, sizes: np.ndarray, few: list, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of rows left x right, those that are linked."""
+def candidates(fps: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows left x right, those worth comparing: all of two short sets, and those within the radius."""
     a, b = np.nonzero(np.minimum(sizes[left][:, None], sizes[right]) >= similarity * np.maximum(sizes[left][:, None], sizes[right]))
     a, b = left[a], right[b]
     keep = a != b if left is not right else a < b
     a, b = a[keep], b[keep]
-    exact = (sizes[a] <= FEW) & (sizes[b] <= FEW)
+    found = (sizes[a] <= FEW) & (sizes[b] <= FEW)
     wide = float(radius(similarity))
-    found = np.zeros(len(a), bool)
-    rough = np.flatnonzero(~exact)
+    rough = np.flatnonzero(~found)
     for at in range(0, len(rough), 1 << 15):
         part = rough[at : at + (1 << 15)]
         apart = np.bitwise_count(fps[:, a[part]] ^ fps[:, b[part]])
         ok = np.flatnonzero(chained(apart, wide))
         part, total = part[ok], apart[:, ok].sum(axis=0)
         found[part] = total <= radius(similarity, sizes[a[part]], sizes[b[part]])
-    sets: dict[int, frozenset] = {}
-    for k in np.flatnonzero(exact).tolist():
-        x, y = (sets.get(i) or sets.setdefault(i, frozenset(few[i])) for i in (int(a[k]), int(b[k])))
-        common = len(x & y)
-        found[k] = common >= similarity * (len(x) + len(y) - common)
     return a[found], b[found]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that tie together what all links tie together."""
+def _similar(sets: Sequence, similarity: float) -> Callable[[int, int], bool]:
+    """Whether two of the sets are similar enough, exactly."""
+    seen: dict[int, frozenset] = {}
+
+    def similar(i: int, j: int) -> bool:
+        if len(sets[i]) > FEW:
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        else:
+            x, y = (seen.get(k) or seen.setdefault(k, frozenset(sets[k])) for k in (i, j))
+            common = len(x & y)
+        return common >= similarity * (len(sets[i]) + len(sets[j]) - common)
+
+    return similar
+
+
+def linked(fps: np.ndarray, sizes: np.ndarray, sets: Sequence, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows left x right, those that are linked."""
+    a, b = candidates(fps, sizes, left, right, similarity)
+    found = np.fromiter(map(_similar(sets, similarity), a.tolist(), b.tolist()), bool, len(a))
+    return a[found], b[found]
+
+
+def _forest(a: np.ndarray, b: np.ndarray, similar: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Of the pairs those that are similar, without some that lie between rows already tied together."""
     root: dict[int, int] = {}
 
     def top(i: int) -> int:
@@ -169,53 +197,98 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         x2, y2 = top(x), top(y)
-        if x2 != y2:
+        if x2 != y2 and similar(x, y):
             root[max(x2, y2)] = min(x2, y2)
             out.append((x, y))
     return out
 
 
+def _by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows sorted by their first column, in tables of whole parts, with the ranges of parts of two rows or more."""
+    held: list[pa.Table] = []
+
+    def cut(table: pa.Table) -> np.ndarray:
+        part = table.column(0).to_numpy()
+        return np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+
+    def ranges(table: pa.Table) -> tuple[pa.Table, list[tuple[int, int]]]:
+        edges = cut(table).tolist()
+        return table, [(s, e) for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) < HELD and sum(t.nbytes for t in held) < HELD_BYTES:
+            continue
+        table = pa.concat_tables(held)
+        whole = int(cut(table)[-2])  # the last part may go on
+        if whole:
+            yield ranges(table.slice(0, whole))
+        held = [table.slice(whole)]
+    if held:
+        yield ranges(pa.concat_tables(held))
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows to be compared: with each other for side 2, else across sides 0 and 1."""
+    if side[0] == 2:
+        every = np.arange(len(side))
+        return every, every
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def _prints(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SEGMENTS).T
+
+
+def _sifter(similarity: float):
+    """Of rows (part, side, node, n, fp, few) sorted by part, those in a pair of their part that is worth comparing.
+
+    Pairs of two short sets are compared here, since their sets are at hand.
+    """
+
+    def sifted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ranges in _by_part(batches):
+            side, sizes, fps = table.column(1).to_numpy(), table.column(3).to_numpy(), _prints(table.column(4))
+            wanted = np.zeros(table.num_rows, bool)
+            for s, e in ranges:
+                a, b = candidates(fps[:, s:e], sizes[s:e], *_sides(side[s:e]), similarity)
+                short = (sizes[s:e][a] <= FEW) & (sizes[s:e][b] <= FEW)
+                if short.any():
+                    similar = _similar(table.column(5).slice(s, e - s).to_pylist(), similarity)
+                    ok = ~short
+                    ok[short] = np.fromiter(map(similar, a[short].tolist(), b[short].tolist()), bool, int(short.sum()))
+                    a, b = a[ok], b[ok]
+                wanted[s + a] = wanted[s + b] = True
+            yield from table.select(range(5)).filter(pa.array(wanted)).to_batches()
+
+    return sifted
+
+
 def _verifier(similarity: float):
-    """Rows (part, side, node, n, fp, few) sorted by part to links (u, v): within a part for side 2, else across sides 0 and 1."""
+    """Rows (part, side, node, n, fp, hashes) sorted by part to links (u, v): within a part for side 2, else across sides 0 and 1."""
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def work(table: pa.Table) -> pa.RecordBatch:
-            part, side, node, sizes = (table.column(k).to_numpy() for k in range(4))
-            fps = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(-1, SEGMENTS).T
-            few, us, vs = table.column(5), [], []
-            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if e - s < 2:
-                    continue
-                if side[s] == 2:
-                    left = right = np.arange(e - s)
-                else:
-                    left, right = np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1)
-                for x, y in _forest(*linked(fps[:, s:e], sizes[s:e], few.slice(s, e - s).to_pylist(), left, right, similarity)):
+        for table, ranges in _by_part(batches):
+            side, node, sizes, fps = table.column(1).to_numpy(), table.column(2).to_numpy(), table.column(3).to_numpy(), _prints(table.column(4))
+            us, vs = [], []
+            for s, e in ranges:
+                similar = _similar([x.values.to_numpy() for x in table.column(5).slice(s, e - s)], similarity)
+                for x, y in _forest(*candidates(fps[:, s:e], sizes[s:e], *_sides(side[s:e]), similarity), similar):
                     us.append(node[s + x])
                     vs.append(node[s + y])
-            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows < HELD:
-                continue
-            part = held.column(0).to_numpy()
-            whole = int(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))[-1])  # the last part may go on
-            if whole:
-                yield work(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield work(held)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return verified
 
 
-def links(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(u, v): links between nodes of sets (node, n, fp, few, keys) that tie together what all links between them tie together."""
+def links(sets: DataFrame, similarity: float = 0.8, whole: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(u, v): links between nodes of sets (node, n, fp, few, keys) that tie together what all links between them tie together.
+
+    `whole` gives (node, hashes) of distinct nodes (node); without it all sets must be in `few`.
+    """
+    whole = whole or (lambda nodes: sets.join(nodes, "node", "left_semi").select("node", F.col("few").alias("hashes")))
     body = sets.select("node", "n", "fp", "few")
     entries = sets.select("node", F.explode("keys").alias("key"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor("node").alias("x"), F.sum(F.hash("node").cast("long")).alias("s"), F.min("node").alias("centre")).where("rows > 1")
@@ -227,7 +300,10 @@ def links(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
         """dealt: (node, side, and columns of the part), each part sorted into one task."""
         of = [c for c in dealt.columns if c not in ("node", "side")]
         ready = dealt.join(body, "node").withColumn("part", F.xxhash64(*of)).repartition("part").sortWithinPartitions("part")
-        return ready.select("part", "side", "node", "n", "fp", "few").mapInArrow(_verifier(similarity), "u long, v long")
+        met = ready.select("part", "side", "node", "n", "fp", "few").mapInArrow(_sifter(similarity), "part long, side int, node long, n long, fp binary")
+        met = stored(met, "candidates")
+        ready = met.join(whole(met.select("node").distinct()), "node").repartition("part").sortWithinPartitions("part")
+        return ready.select("part", "side", "node", "n", "fp", "hashes").mapInArrow(_verifier(similarity), "u long, v long")
 
     near = stored(check(met.where(F.col("rows") <= BLOCK).select("node", "key", F.lit(2).alias("side"))), "links")
     hot = met.where(F.col("rows") > BLOCK).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
@@ -247,8 +323,8 @@ def links(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:
     """(doc_id, mark, root, component_id): a row for each row of docs (doc_id, text).
 
-    Linked are texts whose sets of shingles have about the similarity or more; see
-    the module. Words lie between ASCII white space, with A-Z in lower case. Texts
+    Linked are texts whose sets of shingles have the similarity or more; see the
+    module. Words lie between ASCII white space, with A-Z in lower case. Texts
     without words, nulls included, are linked with each other. component_id is the
     smallest doc_id that links reach, itself included; null ids never name a
     component, and rows that reach nulls alone get null. root stands for the
@@ -257,9 +333,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, se
     """
     schema = "doc_id long, mark long, node long, n long, fp binary, few array<long>, keys array<long>"
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(_hashed(width, seed), schema), "fingerprints")
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "few", "keys")])
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "mark")).alias("one"), *[F.first(c).alias(c) for c in ("n", "fp", "few", "keys")])
     least = stored(least, "distinct")
-    nodes = connected_components(links(least, similarity))
+
+    def whole(nodes: DataFrame) -> DataFrame:
+        """The sets of nodes, from a text of each."""
+        wanted = least.join(nodes, "node", "left_semi").select("node", F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"))
+        wanted = bounded(stored(wanted, "wanted"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").withColumn("_hash", F.xxhash64("text"))
+        texts = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark"))).select("node", "text")
+        made = texts.mapInArrow(_whole(width, seed), "node long, hashes array<long>")
+        return stored(made.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+
+    nodes = connected_components(links(least, similarity, whole))
     named = least.select("node", "least").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named, "named")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))

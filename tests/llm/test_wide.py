@@ -41,6 +41,22 @@ def test_estimates():
                 assert found == (truth > 0.8), truth
 
 
+def test_long_sets_near_the_similarity(spark):
+    """Long texts a little below 0.8 stay apart, those at or a little above it are linked."""
+    pairs, rows = [], []
+    for i in range(80):
+        base = " ".join(random.choices(WORDS, k=300))
+        words, at = base.split(" "), 0
+        while jaccard(base, " ".join(words)) > (0.83 if i % 2 else 0.79):  # a changed word costs up to five shingles
+            words[at], at = "new", at + 7
+        pairs.append((i, jaccard(base, " ".join(words))))
+        rows += [(2 * i, base), (2 * i + 1, " ".join(words))]
+    assert any(0.7 < j < 0.8 for _, j in pairs) and any(0.8 <= j < 0.85 for _, j in pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in wide.near_duplicates(docs).collect()}
+    assert [got[2 * i + 1] == 2 * i for i, _ in pairs] == [j >= 0.8 for _, j in pairs]
+
+
 def test_the_filter_loses_nothing():
     apart = np.random.default_rng(1).integers(0, 20, (wide.SEGMENTS, 20_000)).astype(np.uint8)
     assert (wide.chained(apart, 150.0) | (apart.sum(axis=0) > 150)).all()
