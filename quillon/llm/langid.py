@@ -4,8 +4,9 @@ A text becomes a vector of hashed byte n-grams, weighted by TF-IDF and
 normalised. Document frequencies come from all documents that may be learnt
 from. The centroids are clusters (spherical k-means) of a sample of each
 language's vectors; the language of the centroid with the largest cosine is
-predicted. A text whose largest cosine is below the language's floor is far
-from everything learnt: rejected.
+predicted. A text whose largest cosine is below the language's floor for texts of
+its length is far from everything learnt: rejected. Floors come from cosines of
+texts to centroids that were learnt without them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ CENTROIDS = 4
 #: Bound of the sample: documents of a language that its centroids are clustered from.
 SAMPLE = 500
 SHARPNESS = 25.0
+#: Lengths (log2) for which a language has a floor; between them floors change linearly.
+KNOTS = np.arange(2, 14)
+#: A floor is so much of the cosine that so few of the texts of about the length stay under.
+SLACK, UNDER = 0.85, 0.002
+#: The length (log2) from which on texts have one floor at most.
+LONG = 8
 #: Texts whose vectors a worker holds at once.
 ROWS = 512
 LETTER = re.compile(r"[^\W\d_]")
@@ -90,6 +97,32 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return found
 
 
+def _lengths(counts: np.ndarray) -> np.ndarray:
+    """About log2 of the bytes that n-grams were counted in."""
+    return np.log2(np.maximum(counts.sum(1) / len(GRAMS), 1))
+
+
+def floors_of(lengths: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """A floor for each of KNOTS, from texts of half to twice the length; it never falls with the length.
+
+    Between lengths with texts floors are interpolated; below all texts they fall with the square root of the
+    length. Without texts nothing is rejected.
+    """
+    out = np.full(len(KNOTS), np.nan)
+    for i, knot in enumerate(KNOTS):
+        near = cosines[np.abs(lengths - knot) <= 1]
+        if len(near):
+            out[i] = SLACK * np.quantile(near, UNDER)
+    known = np.flatnonzero(~np.isnan(out))
+    if not len(known):
+        return np.zeros(len(KNOTS))
+    out = np.interp(KNOTS, KNOTS[known], out[known])
+    out[: known[0]] *= 2.0 ** ((KNOTS[: known[0]] - KNOTS[known[0]]) / 2)
+    if (long := lengths >= LONG).any():
+        out = np.minimum(out, SLACK * np.quantile(cosines[long], UNDER))  # no higher where a few texts happen to be good
+    return np.minimum.accumulate(out[::-1])[::-1]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -106,14 +139,15 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
         """The language, how sure (0 to 1), and whether it is rejected."""
-        cosines = self.vectors(texts) @ self.centroids.T if len(self.centroids) else np.zeros((len(texts), 0))
+        counts = gram_counts(texts)
+        cosines = self.weigh(counts) @ self.centroids.T if len(self.centroids) else np.zeros((len(texts), 0))
         by = np.stack([cosines[:, self.owner == i].max(1) for i in range(len(self.languages))], 1) if self.languages else cosines
-        for text, row in zip(texts, by, strict=True):
+        for text, row, length in zip(texts, by, _lengths(counts), strict=True):
             if not self.languages or not has_letter(text):
                 yield "und", 0.0, True
                 continue
             best = int(row.argmax())
-            yield self.languages[best], float(1 / np.exp(SHARPNESS * (row - row[best])).sum()), bool(row[best] < self.floors[best])
+            yield self.languages[best], float(1 / np.exp(SHARPNESS * (row - row[best])).sum()), bool(row[best] < np.interp(length, KNOTS, self.floors[best]))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
@@ -150,8 +184,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     for r in seen.where("n is not null").select(F.posexplode("df").alias("place", "df")).groupBy("place").agg(F.sum("df").alias("df")).collect():
         df[r.place] = r.df
     total = sum(sizes.values())
-    model = Model(list(sizes), np.zeros(0, np.int64), np.zeros((0, DIMS), np.float32), (np.log((total + 1) / (df + 1)) + 1).astype(np.float32), np.zeros(len(sizes)))
-    owner, found = [], []
+    model = Model(list(sizes), np.zeros(0, np.int64), np.zeros((0, DIMS), np.float32), (np.log((total + 1) / (df + 1)) + 1).astype(np.float32), np.zeros((len(sizes), len(KNOTS))))
+    owner, found, held = [], [], []
     for i, lang in enumerate(sizes):
         rows = seen.where(F.col("lang") == lang).select("chance", "places", "counts").orderBy("chance").limit(2 * sample).toArrow()
         counts = np.zeros((rows.num_rows, DIMS), np.float32)
@@ -161,10 +195,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
             continue
         vectors = model.weigh(counts)
         own = cluster(vectors, centroids)
-        # far below all that was learnt: a quarter of the cosine that one sampled document in a thousand stays under
-        model.floors[i] = 0.25 * np.quantile((vectors @ own.T).max(1), 0.001)
+        if len(vectors) > 1:  # each half by what the other teaches
+            halves = [(vectors[k::2] @ cluster(vectors[1 - k :: 2], centroids).T).max(1) for k in (0, 1)]
+            lengths = _lengths(counts)
+            held.append((i, np.concatenate([lengths[0::2], lengths[1::2]]), np.concatenate(halves)))
         found.append(own)
         owner += [i] * len(own)
+    if held:  # a language that has few texts of a length takes over what the others have, if it is lower
+        every = floors_of(np.concatenate([x for _, x, _ in held]), np.concatenate([x for *_, x in held]))
+        for i, lengths, cosines in held:
+            model.floors[i] = np.minimum(floors_of(lengths, cosines), every)
     kept = sorted(set(owner))  # a language may have no sampled document
     model.languages, model.floors = [model.languages[i] for i in kept], model.floors[kept]
     model.owner = np.array([kept.index(i) for i in owner], np.int64)

@@ -114,6 +114,24 @@ def test_languages(spark):
     assert langid.predict(docs, model).where("rejected").count() <= 2
 
 
+FINNISH = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+TURKISH = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."
+
+
+def test_far_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit(docs)
+    rng = np.random.default_rng(3)
+    drawn = lambda letters: "".join(rng.choice(list(letters), 600))
+    code = 'for (int i = 0; i < n; i++) { x[i] = malloc(sizeof(struct foo_bar)); if (!x[i]) goto err; printk(KERN_ERR "%d", ret); }\n' * 5
+    far = [drawn("abcdefghijklmnopqrstuvwxyz     "), drawn("bcdfghjklmnpqrstvwxz   "), drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), code, FINNISH * 2, TURKISH * 2]
+    assert [r for _, _, r in model.predict(far)] == [True] * len(far)
+    clean = ["Der die und das Haus", "And the", "El agua de la casa", "La maison et le chat"]
+    assert [r for _, _, r in model.predict(clean)] == [False] * len(clean)
+    rejected = langid.predict(docs.select("doc_id", "text"), model).where("rejected and text rlike '[a-z]'").count()
+    assert rejected <= 0.003 * docs.count(), rejected
+
+
 def test_languages_without_teachers(spark):
     nothing = spark.createDataFrame([(1, "abc", None), (2, None, "en"), (None, "abc", "en")], "doc_id long, text string, lang string")
     model = langid.fit(nothing)
