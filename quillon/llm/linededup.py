@@ -5,9 +5,9 @@ line's key; `counts` has for each key the number of documents and the largest
 doc_id; `filters` has, for each shard of the keys, a cuckoo filter of the keys
 that reach the document threshold. Inserting or deleting documents makes a new
 index: only keys of those documents are counted anew, and only they enter or
-leave the filters. Applying an index to documents asks the filters first and
-looks up what they let through in the exact counts, so the filters' rare false
-positives change nothing.
+leave the filters. Applying an index to documents brings each shard's lines to its
+filter and looks up what that lets through in the exact counts, so the filters'
+rare false positives change nothing. Filters are neither collected nor broadcast.
 """
 
 from __future__ import annotations
@@ -19,18 +19,20 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from quillon.llm.shared import stored
+from quillon.llm.shared import bounded, stored
 
 BLANKS = " \t\n\r\x0b\x0c"
 SEATS = 4
 #: Most of a filter's seats that are taken when it is built; it is rebuilt larger above the second figure.
 LOAD, FULL = 0.5, 0.9
-#: Filters of more bytes in all are not broadcast; lines then go to the exact counts unfiltered.
-FILTER_BYTES = 64 << 20
+#: Keys of a shard on average, above which shards are doubled.
+SHARD_KEYS = 1 << 17
+#: Lines that are asked of one copy of a filter at least, and about how many bytes a line's row has.
+PART_LINES, LINE_BYTES = 8192, 32
 REFS = "key binary, doc_id long, n long"
 COUNTS = "key binary, documents long, holder long"
 FILTERS = "shard int, used long, buckets long, bits binary"
@@ -113,6 +115,57 @@ def _refs(docs: DataFrame, least: int) -> DataFrame:
     return lines.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
 
 
+def _built(keys: DataFrame) -> DataFrame:
+    """A filter for each shard of keys (key, shard)."""
+
+    def build(keys: pd.DataFrame) -> pd.DataFrame:
+        add = _numbers(keys.key)
+        buckets = 1 << max(4, int(len(add) / SEATS / LOAD)).bit_length()
+        while not (table := Cuckoo(None, buckets)).insert(add):
+            buckets *= 2
+        return pd.DataFrame({"shard": [int(keys.shard.iloc[0])], "used": [len(add)], "buckets": [buckets], "bits": [table.table.tobytes()]})
+
+    return keys.groupBy("shard").applyInPandas(build, FILTERS)
+
+
+def _changed_filter(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter with keys added and deleted; without bits if it must be built anew."""
+    shard = int((filters if len(filters) else keys).shard.iloc[0])
+    overfull = pd.DataFrame({"shard": [shard], "used": [0], "buckets": [0], "bits": [None]})
+    if not len(filters):
+        return overfull
+    used, buckets = int(filters.used.iloc[0]), int(filters.buckets.iloc[0])
+    if not len(keys):
+        return filters[["shard", "used", "buckets", "bits"]]
+    add, gone = _numbers(keys.key[keys["add"]]), _numbers(keys.key[~keys["add"]])
+    used += len(add) - len(gone)
+    table = Cuckoo(filters.bits.iloc[0], buckets)
+    table.delete(gone)
+    if used > buckets * SEATS * FULL or not table.insert(add):
+        return overfull
+    return pd.DataFrame({"shard": [shard], "used": [used], "buckets": [buckets], "bits": [table.table.tobytes()]})
+
+
+def _let_through(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (shard, part, bits, key, doc_id, n), each part's filter before its lines, the lines that their filter may hold."""
+    at, table = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in (0, 1)])
+        heads = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+        edges = [0, *heads.tolist(), batch.num_rows]
+        hit = np.zeros(batch.num_rows, bool)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a in heads:
+                at, table, a = place[:, a], Cuckoo(batch.column(2)[a].as_py(), 0), a + 1
+            if a < b:
+                if at is None or (place[:, a:b] != at[:, None]).any():
+                    raise ValueError("lines came without the filter of their shard")
+                hit[a:b] = table.contains(_numbers(batch.column(3).slice(a, b - a).to_pylist()))
+        yield batch.filter(pa.array(hit)).select([3, 4, 5])
+
+
 @dataclass
 class LineIndex:
     refs: DataFrame
@@ -147,66 +200,55 @@ class LineIndex:
         fresh = fresh.groupBy("key").agg(F.count("*").alias("documents"), F.max("doc_id").alias("holder"))
         kept = self.counts if self.counts.isEmpty() else self.counts.join(touched, "key", "left_anti")
         counts = stored(kept.unionByName(fresh), "counts")
-        return LineIndex(refs, counts, self._refiltered(counts), self.length, self.documents, self.shards)
+        out = LineIndex(refs, counts, self.filters, self.length, self.documents, self.shards)
+        out.filters = out._refiltered(counts, self)
+        return out
+
+    def _shard(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
 
-    def _refiltered(self, counts: DataFrame) -> DataFrame:
+    def _refiltered(self, counts: DataFrame, old: LineIndex) -> DataFrame:
+        """The filters of the keys that repeat in counts: those of old, changed by the keys that crossed the threshold.
+
+        All are built anew when keys outgrow the shards, and a shard alone when its
+        filter would be too full or a key finds no seat.
+        """
         often = F.col("documents") >= self.documents
-        shard = F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
-        now, before = (t.where(often).select("key", shard) for t in (counts, self.counts))
-        if self.filters.isEmpty():
-            # a shard's keys meet in one task: as many shards as keep them to about 2 ** 17
-            self.shards = max(self.shards, now.count() >> 17)
-            now = counts.where(often).select("key", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"))
-            change, rebuilt = now.withColumn("add", F.lit(True)), None
-        else:
-            change = now.join(before, ["key", "shard"], "left_anti").withColumn("add", F.lit(True))
-            change = stored(change.unionByName(before.join(now, ["key", "shard"], "left_anti").withColumn("add", F.lit(False))), "crossing")
-            added = change.where("add").groupBy("shard").agg(F.count("*").alias("added"))
-            full = (F.col("used") + F.col("added")) > F.col("buckets") * SEATS * FULL
-            rebuilt = added.join(self.filters, "shard", "left").where(full | F.col("buckets").isNull()).select("shard")
-            rebuilt = [r.shard for r in rebuilt.collect()]  # shard numbers only
-            change = change.where(~F.col("shard").isin(rebuilt)).unionByName(now.where(F.col("shard").isin(rebuilt)).withColumn("add", F.lit(True)))
-        old = self.filters if not rebuilt else self.filters.where(~F.col("shard").isin(rebuilt))
-
-        def updated(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-            shard = int((filters if len(filters) else keys).shard.iloc[0])
-            add, gone = _numbers(keys.key[keys["add"]]), _numbers(keys.key[~keys["add"]])
-            used, buckets, bits = (int(filters.used.iloc[0]), int(filters.buckets.iloc[0]), filters.bits.iloc[0]) if len(filters) else (0, 0, None)
-            if not buckets:
-                buckets = 1 << max(4, int(len(add) / SEATS / LOAD)).bit_length()
-            table = Cuckoo(bits, buckets)
-            table.delete(gone)
-            while not table.insert(add):
-                if bits:
-                    raise RuntimeError("a cuckoo filter overflowed below its load limit")
-                buckets *= 2
-                table = Cuckoo(None, buckets)
-            return pd.DataFrame({"shard": [shard], "used": [used + len(add) - len(gone)], "buckets": [buckets], "bits": [table.table.tobytes()]})
-
-        return stored(old.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(updated, FILTERS), "filters")
+        repeated = counts.where(often).select("key")
+        # a shard's keys meet in one task: as many shards as keep them to about SHARD_KEYS
+        while repeated.count() > self.shards * SHARD_KEYS:
+            self.shards *= 2
+        now = repeated.select("key", self._shard())
+        if self.shards != old.shards or old.filters.isEmpty():
+            return stored(_built(now), "filters")
+        before = old.counts.where(often).select("key", self._shard())
+        change = now.join(before, ["key", "shard"], "left_anti").withColumn("add", F.lit(True))
+        change = stored(change.unionByName(before.join(now, ["key", "shard"], "left_anti").withColumn("add", F.lit(False))), "crossing")
+        changed = stored(old.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(_changed_filter, FILTERS), "changed")
+        overfull = changed.where("bits is null").select("shard")
+        if overfull.isEmpty():
+            return changed
+        again = _built(now.join(bounded(overfull), "shard", "left_semi"))
+        return stored(changed.where("bits is not null").unionByName(again), "filters")
 
     def hits(self, refs: DataFrame) -> DataFrame:
-        """The rows of refs (key, doc_id, n) whose key the filters may hold."""
-        size = self.filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-        if size > FILTER_BYTES:
-            return refs
-        tables = refs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.bits) for r in self.filters.select("shard", "bits").collect()})
-        sharded = refs.select("key", "doc_id", "n", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"))
-
-        def let_through(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {shard: Cuckoo(bits, 0) for shard, bits in tables.value.items()}
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys, shards = _numbers(batch.column(0).to_pylist()), batch.column(3).to_numpy()
-                hit = np.zeros(len(keys), bool)
-                for shard in np.unique(shards).tolist():
-                    if shard in filters:
-                        here = np.flatnonzero(shards == shard)
-                        hit[here] = filters[shard].contains(keys[here])
-                yield batch.filter(pa.array(hit)).select([0, 1, 2])
-
-        return sharded.mapInArrow(let_through, REFS)
+        """The rows of refs (key, doc_id, n) whose key the filters may hold.
+
+        Lines meet the filter of their shard in parts of bounded size: a shard with
+        many lines, of which one may be most, is dealt to several parts by doc_id,
+        and each part gets a copy of the filter, sorted before its lines.
+        """
+        sharded = refs.select("key", "doc_id", "n", self._shard())
+        # a copy of a filter is to be no larger than its part's lines
+        weight = self.filters.select("shard", F.greatest(F.lit(PART_LINES), F.length("bits") / LINE_BYTES).alias("most"))
+        parts = stored(sharded.groupBy("shard").agg(F.count("*").alias("lines")).join(weight, "shard").select("shard", F.ceil(F.col("lines") / F.col("most")).cast("int").alias("parts")), "parts")
+        parts = bounded(parts)
+        part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int")
+        lines = sharded.join(parts, "shard").select("shard", part.alias("part"), F.lit(None).cast("binary").alias("bits"), "key", "doc_id", "n")
+        nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("key", "binary"), ("doc_id", "long"), ("n", "long"))]
+        copies = self.filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "bits", *nothing)
+        dealt = lines.unionByName(copies).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("bits").isNull())
+        return dealt.mapInArrow(_let_through, REFS)
 
     def drops(self, refs: DataFrame) -> DataFrame:
         """(doc_id, drop): for each document that loses lines their keys."""
