@@ -61,7 +61,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = mixing.stored(_table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", mixing.word_count("text").alias("size")), "sizes")
+    sized = mixing.stored(_table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", mixing.word_count("text").alias("size"), F.xxhash64("text").alias("mark")), "sizes")
     dealt = mixing.assign(sized, size="size").select("doc_id", "size", "source_size", "target", "taken", "positions")
     # by the first reading; documents that are not read come last
     return dealt.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")

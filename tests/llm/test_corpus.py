@@ -94,6 +94,36 @@ def test_cuckoo():
     assert not linededup.Cuckoo(None, 16).insert(keys)
 
 
+def test_filters_grow_and_are_rebuilt(spark, monkeypatch):
+    """Shards double with the keys, and a filter without a free seat is built anew from the counts."""
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 8)
+    rows = [(d, "\n".join(LINE.format(f"{k}-{d // 10}") for k in range(40))) for d in range(60)]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index = linededup.LineIndex.empty(spark, shards=2).insert(frame(rows[:10]))
+    assert index.shards >= 5
+    first = index.shards
+    for k in range(10, 60, 10):
+        index = index.insert(frame(rows[k : k + 10]))
+    assert index.shards > first
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 1 << 17)
+    assert kept(index.apply(frame(rows))) == expected(rows)
+    tiny = linededup.LineIndex.empty(spark, shards=1).insert(frame(rows[:10]))
+    used = tiny.filters.first()
+    crammed = spark.createDataFrame([(0, used.used, 1, bytearray(b"\1\0" * 4))], linededup.FILTERS)  # all seats taken
+    tiny.filters = crammed
+    grown = tiny.insert(frame(rows[10:20]))
+    assert grown.filters.first().buckets > 1
+    assert kept(grown.apply(frame(rows[:20]))) == expected(rows[:20])
+
+
+def test_hot_shards_are_split(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PART_LINES", 4)
+    monkeypatch.setattr(linededup, "LINE_BYTES", 1 << 20)
+    rows = line_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert kept(linededup.LineIndex.empty(spark, shards=2).insert(docs).apply(docs)) == expected(rows)
+
+
 def brute_matches(text, items, width=10):
     words = decontam.words_of(text)
     hit, found, longest = set(), set(), 0
@@ -264,7 +294,8 @@ def test_mix(spark):
         assert {r.source_size for r in own} == {sizes[source]}
         assert own[0].target == pytest.approx(goal[source])
         assert abs(sum(r.taken for r in own) - goal[source]) <= max(r.size for r in own)
-    assert all(r.taken <= 3 * r.size and r.taken == r.size * len(r.positions) and all(0 <= p <= 1 for p in r.positions) for r in out)
+    total = sum(goal.values())
+    assert all(r.taken <= 3 * r.size and r.taken == r.size * len(r.positions) and all(0 <= p <= total * (1 + 1e-9) for p in r.positions) for r in out)
     empty = docs.limit(0)
     assert mixing.assign(empty).count() == 0
     assert [r.taken for r in mixing.assign(spark.createDataFrame([(1, "a", None)], "doc_id long, source string, text string")).collect()] == [0]
@@ -276,7 +307,50 @@ def test_op8_returns_the_training_order(spark):
     assert all(r.taken == r.size * len(r.positions) and list(r.positions) == sorted(r.positions) for r in out)
     keys = [(not r.positions, r.positions[0] if r.positions else 0, r.doc_id) for r in out]
     assert keys == sorted(keys) and {len(r.positions) for r in out} > {0}
-    assert all(0 <= p <= 1 for r in out for p in r.positions)
+
+
+def test_op8_plan_keeps_its_method(spark):
+    """The inversion of the demand (a square root) and the range sort are in the plan that runs."""
+    plan = queries.op8_mixing(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" in plan.upper()
+    physical = queries.op8_mixing(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(" in physical
+
+
+def test_positions_equal_a_brute_force_integration(spark):
+    """Each source's readings in their order; its demand is integrated in small steps and inverted, and all demands up to then are added."""
+    out = queries.op8_mixing(spark, SF).collect()
+    sizes = defaultdict(int)
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in out:
+        sizes[docs[r.doc_id]] += r.size
+    goal = brute_targets(sizes)
+    kinds = {s: i % 3 for i, s in enumerate(sorted((s for s in goal if s is not None), key=lambda s: s.encode()))}
+    if None in goal:
+        kinds[None] = len(kinds) % 3
+    knots = np.linspace(0, 1, 20_001)
+    integral = []
+    for k in range(3):
+        factors = np.interp(knots, [t for t, _ in mixing.SCHEDULE], [f[k] for _, f in mixing.SCHEDULE])
+        area = np.concatenate([[0], np.cumsum((factors[1:] + factors[:-1]) / 2)])
+        integral.append(area / area[-1])
+    demand = sum(goal[s] * integral[kinds[s]] for s in goal)
+    want = []
+    for s in goal:
+        readings = sorted((p, r.size) for r in out if docs[r.doc_id] == s for p in r.positions)
+        before = np.cumsum([0, *[n for _, n in readings]])[:-1]
+        for (p, n), at in zip(readings, before, strict=True):
+            want.append((p, np.interp(np.interp((at + n / 2) / goal[s], integral[kinds[s]], knots), knots, demand)))
+    assert np.allclose([p for p, _ in want], [w for _, w in want], rtol=1e-5, atol=1.0)
+    assert max(p for p, _ in want) <= sum(sizes.values()) * (1 + 1e-9)
+
+
+def test_rows_of_one_id_are_dealt_apart(spark):
+    """Null ids, a third of all rows or more, fall into many buckets and are mixed all the same."""
+    docs = spark.createDataFrame([(None, "a", f"w{i} " * (1 + i % 5)) for i in range(600)] + [(i, "b", "x y") for i in range(300)], "doc_id long, source string, text string")
+    out = mixing.assign(docs).collect()
+    assert abs(sum(r.taken for r in out if r.source == "a") - next(r.target for r in out if r.source == "a")) <= 5
+    assert len({r.positions[0] for r in out if r.doc_id is None and r.positions}) > 500
 
 
 def test_training_time_inverts_the_schedule(spark):
