@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import remainder, slices
+from quillon.llm.shared import remainder, slices, stored
 
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Lengths of a token that are counted, the whole one last, and hash classes of each.
@@ -110,21 +110,24 @@ class Model:
     def scores(self) -> Scores:
         return Scores(self.places, self.toxic, self.all, self.rate)
 
-    def surprise(self, score: float | np.ndarray, n: int | np.ndarray) -> np.ndarray:
-        """-log10 of the chance of such a segment in n tokens of clean text; at most 300."""
-        steep, k = self.law
-        expected = k * np.maximum(n, 1) * np.exp(-np.minimum(steep * np.asarray(score, float), 690))
-        return -np.log10(np.maximum(-np.expm1(-expected), 1e-300))
-
-    def features(self, found: list[float], n: int) -> tuple[float, float]:
-        each = self.surprise(np.array(found), n) if found else np.zeros(1)
-        return float(np.log1p(each.max())), float(np.log1p((each > -np.log10(SIGNIFICANT)).sum()))
-
     def probability(self, x: np.ndarray) -> np.ndarray:
         a, b, c = self.curve
         return 1 / (1 + np.exp(-np.clip(a + x @ np.array([b, c]), -30, 30)))
 
 
+def surprise(law: tuple[float, float], score: float | np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    """-log10 of the chance of such a segment in n tokens of clean text; at most 300."""
+    steep, k = law
+    expected = k * np.maximum(n, 1) * np.exp(-np.minimum(steep * np.asarray(score, float), 690))
+    return -np.log10(np.maximum(-np.expm1(-expected), 1e-300))
+
+
+def features(law: tuple[float, float], found: list[float], n: int) -> tuple[float, float]:
+    """Of the scores of a text's segments: how strong the strongest is, and how many are significant."""
+    each = surprise(law, np.array(found), n) if found else np.zeros(1)
+    return float(np.log1p(each.max())), float(np.log1p((each > -np.log10(SIGNIFICANT)).sum()))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: float = 1.0) -> tuple[float, float, float]:
     """Ridge logistic regression by Newton steps; slopes stay at 0 or above."""
     x, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
@@ -198,12 +201,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    sent = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    """Fits the law and the curve to rows (text, toxic).
+
+    Segments are found once and stay in the shared folder. The driver gets, for each text
+    of the bounded sample, its length and best score, and then its two features.
+    """
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def scanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, background = pickle.loads(sent.value).scores(), np.zeros(STEPS, np.int64)
-        names = ["toxic", "n", "found", "background"]
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
+        names = ["toxic", "n", "best", "found", "background"]
+        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
         for batch in slices(batches, "text"):
             labels, sizes, found = batch.column(1).to_pylist(), [], []
             for text, toxic in zip(batch.column(0), labels, strict=True):
@@ -212,12 +221,15 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
                 found.append([s for _, _, s in segments(got)])
                 if not toxic:
                     background += np.bincount(np.clip(np.round(got / STEP).astype(np.int64) + STEPS // 2, 0, STEPS - 1), minlength=STEPS)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([labels, sizes, found, [None] * len(labels)], kinds, strict=True)], names)
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([None, None, None, background], kinds, strict=True)], names)
-
-    got = rows.mapInArrow(scanned, "toxic int, n long, found array<double>, background array<long>").collect()  # a quarter of the bounded sample
-    background = np.sum([r.background for r in got if r.background is not None] or [np.zeros(STEPS)], axis=0).astype(float)
-    docs = [r for r in got if r.toxic is not None]
+            best = [max(x, default=0.0) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([labels, sizes, best, found, [None] * len(labels)], kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([None, None, None, None, background], kinds, strict=True)], names)
+
+    got = stored(rows.mapInArrow(scanned, "toxic int, n long, best double, found array<double>, background array<long>"), "segments")
+    background = np.zeros(STEPS)
+    for r in got.where("background is not null").select(F.posexplode("background").alias("place", "n")).groupBy("place").agg(F.sum("n").alias("n")).collect():  # up to STEPS rows
+        background[r.place] = r.n
+    docs = got.where("toxic is not null")
     step = (np.arange(STEPS) - STEPS // 2) * STEP
     if background.sum() and (background * step).sum() < 0 and background[step > 0].any():
         share = background / background.sum()
@@ -228,11 +240,17 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
             middle = (low + high) / 2
             low, high = (middle, high) if (share * np.exp(np.minimum(middle * step, 600))).sum() < 1 else (low, middle)
         steep = high
-        clean = [(max(r.found, default=0.0), r.n) for r in docs if not r.toxic and r.n]
-        k = len(clean) / max(1e-9, sum(n * np.exp(-steep * s) for s, n in clean))
-        model.law = (float(steep), float(min(k, 1.0)))
-    x = np.array([model.features(list(r.found), r.n) for r in docs]).reshape(-1, 2)
-    y = np.array([r.toxic for r in docs], float)
+        clean = docs.where("toxic = 0 and n > 0").agg(F.count("*").alias("k"), F.sum(F.col("n") * F.exp(-F.lit(float(steep)) * F.col("best"))).alias("n")).first()
+        model.law = (float(steep), float(min((clean.k or 0) / max(1e-9, clean.n or 0), 1.0)))
+    law = model.law
+
+    def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(law, found.as_py(), n) for found, n in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "strongest", "number"])
+
+    table = docs.select("toxic", "found", "n").mapInArrow(featured, "toxic int, strongest double, number double").toArrow()  # a quarter of the bounded sample
+    y, x = table.column(0).to_numpy().astype(float), np.column_stack([table.column(k).to_numpy() for k in (1, 2)])
     if 0 < y.sum() < len(y):
         model.curve = _logistic(x, y)
     else:
@@ -259,8 +277,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for text in batch.column(1):
                 words = tokens(text.as_py()) if model.rate else []
                 got = segments(scores.of(words)) if words else []
-                x.append(model.features([s for _, _, s in got], len(words)))
-                chances = 10.0 ** -model.surprise(np.array([s for _, _, s in got]), len(words)) if got else []
+                x.append(features(model.law, [s for _, _, s in got], len(words)))
+                chances = 10.0 ** -surprise(model.law, np.array([s for _, _, s in got]), len(words)) if got else []
                 passages.append([{"start": a, "stop": b, "score": s, "p": float(p)} for (a, b, s), p in zip(got, chances, strict=True) if p < SIGNIFICANT])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(np.array(x))), pa.array(passages, kind)], ["_row", "text", *new])
 
