@@ -83,6 +83,10 @@ class Rewritten:
             at = end
         self.text = "".join([*parts, source[at:]])
         self.begins = [a for a, _ in self.marks]
+        self.filled, last = [], -1  # for each edit the last one, itself included, that left something
+        for k, (a, b) in enumerate(self.marks):
+            last = k if b > a else last
+            self.filled.append(last)
 
     def back(self, start: int, end: int) -> tuple[int, int, bool]:
         """The source's span, and whether it touches an edit."""
@@ -93,11 +97,8 @@ class Rewritten:
     def _of(self, i: int) -> tuple[int, int]:
         """The source's range of the character at i."""
         k = bisect_right(self.begins, i) - 1
-        while k >= 0 and self.marks[k][0] == self.marks[k][1]:
-            k -= 1  # an edit that left nothing
-        if k >= 0 and i < self.marks[k][1]:
-            return self.edits[k][0], self.edits[k][1]
-        k = bisect_right(self.begins, i) - 1
+        if k >= 0 and (own := self.filled[k]) >= 0 and i < self.marks[own][1]:
+            return self.edits[own][0], self.edits[own][1]
         shift = self.edits[k][1] - self.marks[k][1] if k >= 0 else 0
         return i + shift, i + shift + 1
 
@@ -224,11 +225,14 @@ def detector() -> Callable[[str], tuple[list[Span], list[Span]]]:
         if not first.edits and not second.edits:
             return base, []
         own = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
+        starts = {kind: [a for a, _ in spans] for kind, spans in own.items()}
         added = []
         for kind, start, end in plain_spans(second.text):
             a, b, two = second.back(start, end)
             a, b, one = first.back(a, b)
-            if (one or two) and not any(x <= a and b <= y for x, y in own[kind]):
+            # plain spans of a kind do not overlap: only the last that starts by here can hold this one
+            k = bisect_right(starts[kind], a) - 1
+            if (one or two) and not (k >= 0 and b <= own[kind][k][1]):
                 added.append((kind, a, b))
         return base, added
 
