@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +21,30 @@ SHOWN_BYTES = 200
 
 
 def lines(texts: DataFrame) -> DataFrame:
-    """A row for each line: `line` from 1, `ln` its text, `byte_start` its place in bytes."""
-    parts = F.split("text", "\n")
-    ends = F.transform(parts, lambda x: F.octet_length(x) + 1)
-    split = texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(F.arrays_zip(parts.alias("ln"), ends.alias("n"))).alias("line", "_part"))
-    before = Window.partitionBy("file_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_part.n").over(before), F.lit(0)).cast("long")
-    return split.select(*[c for c in texts.columns if c != "text"], (F.col("line") + 1).cast("long").alias("line"), F.col("_part.ln").alias("ln"), start.alias("byte_start"))
+    """A row for each line: `line` from 1, `ln` its text, `byte_start` its place in bytes.
+
+    Places are sums of lengths within a text, taken over Arrow arrays where the text is: nothing is shuffled.
+    """
+    others = [c for c in texts.columns if c != "text"]
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in others)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                split = pc.split_pattern(part.column(len(others)), "\n")
+                of, texts_ = pc.list_parent_indices(split), pc.list_flatten(split)
+                owner = of.to_numpy()
+                sizes = pc.binary_length(texts_).to_numpy().astype(np.int64) + 1
+                begins = np.cumsum(sizes) - sizes
+                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+                rank = np.cumsum(np.isin(np.arange(len(owner)), first)) - 1
+                number = np.arange(len(owner)) - first[rank] + 1 if len(owner) else owner
+                start = begins - begins[first][rank] if len(owner) else begins
+                kept = [part.column(k).take(of) for k in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(number, pa.int64()), texts_, pa.array(start, pa.int64())], [*others, "line", "ln", "byte_start"])
+
+    return texts.select(*others, "text").mapInArrow(cut, f"{kinds}, line long, ln string, byte_start long")
 
 
 def grams_of(texts: DataFrame) -> DataFrame:
@@ -124,10 +142,11 @@ def search(
     # the pieces around the matches: their lengths add up to the matches' places
     gaps = F.split("ln", expression, -1)
     hits = F.regexp_extract_all("ln", F.lit(f"({expression})"), F.lit(1))
-    width = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.octet_length(x))
-    each = met.withColumn("gaps", gaps).withColumn("hits", hits).select("file_id", "path", "line", "byte_start", "ln", "gaps", "hits", F.posexplode("hits").alias("k", "hit"))
-    at = width(F.slice("gaps", 1, F.col("k") + 1)) + width(F.slice("hits", 1, F.col("k")))
-    out = each.where("hit <> ''").select("file_id", "path", "line", (at + 1).cast("long").alias("col"), (F.col("byte_start") + at).cast("long").alias("byte"), shown(F.col("ln")).alias("shown"))
+    each = met.select("file_id", "path", "line", "byte_start", "ln", F.posexplode(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))).alias("k", "_piece"))
+    each = each.select("file_id", "path", "line", "byte_start", "ln", "k", F.octet_length("_piece.gap").alias("gap"), F.octet_length("_piece.hit").alias("hit")).where("hit is not null")
+    before = Window.partitionBy("file_id", "line").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col("gap") + F.col("hit")).over(before), F.lit(0)) + F.col("gap")
+    out = each.withColumn("_at", at).where("hit > 0").select("file_id", "path", "line", (F.col("_at") + 1).cast("long").alias("col"), (F.col("byte_start") + F.col("_at")).cast("long").alias("byte"), shown(F.col("ln")).alias("shown"))
     if per_file:
         first = F.row_number().over(Window.partitionBy("file_id").orderBy("byte"))
         out = out.withColumn("_k", first).where(F.col("_k") <= per_file).drop("_k")

@@ -23,18 +23,15 @@ def living(table: DataFrame, dead: DataFrame) -> DataFrame:
 
 
 def merged(old_files: DataFrame, old_rows: DataFrame, new_files: DataFrame, extract) -> DataFrame:
-    """Rows of an index after a change of files: kept for unchanged files, extracted anew for changed and added ones.
+    """Rows of an index after a change of files: those of unchanged files stay, changed and added files are extracted anew.
 
     extract gets the new files that must be read and returns their rows. Files are
-    matched by root and relative path, so file_ids may differ between the two.
+    matched by root and relative path; new_files number changed files as new ones.
     """
     status = index_diff(old_files, new_files)
-    same = status.where("status = 'unchanged'").select("root_id", "relpath")
-    ids = old_files.select("root_id", "relpath", F.col("file_id").alias("_old")).join(same, ["root_id", "relpath"], "left_semi")
-    ids = ids.join(new_files.select("root_id", "relpath", F.col("file_id").alias("_new")), ["root_id", "relpath"]).select("_old", "_new")
-    kept = old_rows.join(ids, old_rows["file_id"] == ids["_old"]).withColumn("file_id", F.col("_new")).select(*old_rows.columns)
+    gone = old_files.join(status.where("status in ('changed', 'removed')").select("root_id", "relpath"), ["root_id", "relpath"], "left_semi")
     todo = new_files.join(status.where("status in ('changed', 'added')").select("root_id", "relpath"), ["root_id", "relpath"], "left_semi")
-    return kept.unionByName(extract(todo).select(*old_rows.columns))
+    return living(old_rows, gone).unionByName(extract(todo).select(*old_rows.columns))
 
 
 def duplicates(files: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.columns import rank_score
+from quillon.functions.columns import quoted, rank_score
 
 
 def outline(symbols: DataFrame, path: str, limit: int = 0) -> DataFrame:
@@ -65,12 +67,17 @@ def ancestors(files: DataFrame) -> DataFrame:
 
 
 def owners(files: DataFrame, owners_files: DataFrame, mode: str = "nearest") -> DataFrame:
-    """(file_id, path, depth, email): who owns each file, by owners_files (dir, emails, noparent).
+    """(file_id, path, depth, email): who owns each file, by owners_files (dir, emails, noparent, and maybe rules).
 
     From the nearest folder upwards; a folder that cuts its parents off is the last that
-    counts. `nearest` keeps the first folder with emails, `all` every folder.
+    counts. `nearest` keeps the first folder with emails, `all` every folder. rules (pattern,
+    emails) add the emails of patterns that match a file's whole base name.
     """
     up = ancestors(files).join(owners_files, "dir")
+    if "rules" in owners_files.columns:
+        name = F.substring_index("path", "/", -1)
+        own = F.flatten(F.transform(F.filter("rules", lambda r: F.rlike(name, r["pattern"])), lambda r: r["emails"]))
+        up = up.withColumn("emails", F.array_distinct(F.concat("emails", own)))
     by_file = Window.partitionBy("file_id")
     last = F.min(F.when(F.col("noparent"), F.col("depth"))).over(by_file)
     seen = up.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("depth") <= F.col("_last")))
@@ -80,13 +87,16 @@ def owners(files: DataFrame, owners_files: DataFrame, mode: str = "nearest") ->
 
 
 def parse_owners(text: str) -> dict:
-    """emails, per_file rules and noparent of an owners file."""
-    out = {"emails": [], "per_file": [], "noparent": False}
+    """emails, per_file rules as they stand, noparent, and rules: (regular expression, emails) of rules that name emails."""
+    out = {"emails": [], "per_file": [], "noparent": False, "rules": []}
     for line in (x.strip() for x in text.splitlines()):
         if line in ("set noparent", "noparent"):
             out["noparent"] = True
         elif line.startswith("per-file"):
             out["per_file"].append(line[8:].strip())
+            globs, _, owners = line[8:].partition("=")
+            if emails := [x.strip() for x in owners.split(",") if "@" in x]:
+                out["rules"] += [(_glob(g.strip()), emails) for g in globs.split(",") if g.strip()]
         elif line.startswith("file:"):
             out["per_file"].append(line)
         elif "@" in line and " " not in line and not line.startswith("#"):
@@ -94,6 +104,12 @@ def parse_owners(text: str) -> dict:
     return out
 
 
+def _glob(pattern: str) -> str:
+    """A Java regular expression for names that match a shell pattern of *, ? and [sets]."""
+    parts = re.findall(r"\[[^\]]*\]|.", pattern)
+    return "^" + "".join({"*": ".*", "?": "."}.get(x) or (x if len(x) > 1 else quoted(x)) for x in parts) + "$"
+
+
 def slow_commands(log: DataFrame, share: float = 0.95) -> DataFrame:
     """(cmd, n, p95): exact interpolated percentile of elapsed_ms by command."""
     return log.groupBy("cmd").agg(F.count("*").alias("n"), F.percentile("elapsed_ms", share).alias("p95"))

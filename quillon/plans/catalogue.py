@@ -331,11 +331,7 @@ def reach_closure(k: Corpus) -> DataFrame:
     return graph.reach(k.modules(), k.deps())
 
 
-@query(
-    """with recursive m as (select distinct user_id::bigint as id from events where user_id < 12), d as (select id as src, (id + 1) % 12 as dst from m where (id + 1) % 12 in (select id from m)),
-    reach(src, dst) as (select id, id from m union select reach.src, d.dst from reach join d on reach.dst = d.src) select src, dst from reach""",
-    base=False,
-)
+@query("select 1000 + a.c_custkey as src, 1000 + b.c_custkey as dst from customer a join customer b using (c_nationkey)", base=False)
 def reach_cycle(k: Corpus) -> DataFrame:
     return graph.reach(k.cyclic_modules(), k.cyclic_deps())
 
@@ -379,7 +375,7 @@ def trigram_postings(k: Corpus) -> DataFrame:
 
 @query(f"{_GRAMS} select g, count(*) as files from grams group by g having count(*) >= 50")
 def trigram_df(k: Corpus) -> DataFrame:
-    return grep.frequencies(grep.grams_of(k.texts())).where("files >= 50")
+    return grep.frequencies(k.trigrams()).where("files >= 50")
 
 
 _PIECES = """, hit as (select file_id, path, line, ln, byte_start, string_split(ln, '{p}') as g from lines where contains(ln, '{p}')),
@@ -395,17 +391,17 @@ def grep_literal(k: Corpus) -> DataFrame:
 
 @query(_PIECES.format(p="erention") + _FOUND)
 def grep_trigram_strategy(k: Corpus) -> DataFrame:
-    return grep.search(k.texts(), "erention", postings=grep.grams_of(k.texts())).select("path", "line", "col", "byte")
+    return grep.search(k.texts(), "erention", postings=k.trigrams()).select("path", "line", "col", "byte")
 
 
 @query("select path, line, count(*) as n from (select path, line, unnest(regexp_extract_all(ln, '(?i)retition')) from lines) group by path, line")
 def grep_ci(k: Corpus) -> DataFrame:
-    return grep.search(k.texts(), "ReTition", ignore_case=True, postings=grep.grams_of(k.texts())).groupBy("path", "line").agg(F.count("*").alias("n"))
+    return grep.search(k.texts(), "ReTition", ignore_case=True, postings=k.trigrams()).groupBy("path", "line").agg(F.count("*").alias("n"))
 
 
 @query("select path, line, count(*) as n from (select path, line, unnest(regexp_extract_all(ln, 'th(er|an)tion[a-z]+')) from lines) group by path, line")
 def grep_regex(k: Corpus) -> DataFrame:
-    return grep.search(k.texts(), "th(?:er|an)tion[a-z]+", postings=grep.grams_of(k.texts())).groupBy("path", "line").agg(F.count("*").alias("n"))
+    return grep.search(k.texts(), "th(?:er|an)tion[a-z]+", postings=k.trigrams()).groupBy("path", "line").agg(F.count("*").alias("n"))
 
 
 def _hex(text: str) -> str:
@@ -415,7 +411,7 @@ def _hex(text: str) -> str:
 
 @query(f"{_GRAMS} select file_id from grams where t in ({_hex('erention')}) group by file_id having count(*) = 6")
 def grep_candidates(k: Corpus) -> DataFrame:
-    return grep.candidates(grep.grams_of(k.texts()), "erention")
+    return grep.candidates(k.trigrams(), "erention")
 
 
 @query(_PIECES.format(p="Apache License") + " select path, line, pos + 1 as col, ln as shown from found where strlen(ln) <= 200")
@@ -435,7 +431,7 @@ def grep_lang_in(k: Corpus) -> DataFrame:
 
 @query(f"{_GRAMS} select g, count(*) as files from grams where t in ({_hex('retition')}) group by g")
 def grep_explain(k: Corpus) -> DataFrame:
-    return grep.explain(grep.grams_of(k.texts()), "retition")
+    return grep.explain(k.trigrams(), "retition")
 
 
 @query(_PIECES.format(p="tion") + " select path, line, pos + 1 as col from (select *, row_number() over (partition by file_id order by byte_start + pos) as r from found) where r <= 16 order by path, line, col limit 2000")
@@ -494,12 +490,6 @@ def stats_kind(k: Corpus) -> DataFrame:
     return summary.kinds(k.symbols())
 
 
-@query("select relpath, (select count(*) from symbols s where s.file_id = f.file_id) as symbol_count from files f where file_id % 50 = 3 order by relpath limit 50")
-def diff_changed(k: Corpus) -> DataFrame:
-    changed = k.files().where("file_id % 50 = 3").select("root_id", "relpath")
-    return summary.changed_symbols(k.files(), k.symbols(), changed)
-
-
 _DIFF = """, a as (select relpath, digest from files where file_id % 10 <> 0), b as (select relpath, case when file_id % 10 = 1 then 'x' else digest end as digest from files where file_id % 10 <> 2),
 st as (select coalesce(a.relpath, b.relpath) as relpath, case when a.relpath is null then 'added' when b.relpath is null then 'removed' when a.digest = b.digest then 'unchanged' else 'changed' end as status from a full join b on a.relpath = b.relpath)"""
 
@@ -515,6 +505,12 @@ def index_diff(k: Corpus) -> DataFrame:
     return summary.index_diff(*_two(k)).select("relpath", "status")
 
 
+@query(f"{_DIFF} select relpath, (select count(*) from symbols s where s.file_id = f.file_id) as symbol_count from files f where relpath in (select relpath from st where status in ('changed', 'added')) order by relpath limit 50")
+def diff_changed(k: Corpus) -> DataFrame:
+    changed = summary.index_diff(*_two(k)).where("status in ('changed', 'added')").select("root_id", "relpath")
+    return summary.changed_symbols(k.files(), k.symbols(), changed)
+
+
 @query(f"{_DIFF} select status, count(*) as n from st group by status")
 def index_diff_counts(k: Corpus) -> DataFrame:
     return summary.index_diff(*_two(k)).groupBy("status").agg(F.count("*").alias("n"))
@@ -575,12 +571,12 @@ def compact(k: Corpus) -> DataFrame:
 @query("select case when file_id % 10 in (0, 1) then 'read' else 'kept' end as how, kind, count(*) as n from symbols where file_id % 10 <> 2 group by 1, 2")
 def incremental_merge(k: Corpus) -> DataFrame:
     old, new = _two(k)
-    rows = k.symbols().select("file_id", "kind", F.lit("kept").alias("how"))
+    rows = k.kept("symbols_by_file").select("file_id", "kind", F.lit("kept").alias("how"))
 
     def extract(todo: DataFrame) -> DataFrame:
         return rows.join(todo.select("file_id"), "file_id", "left_semi").withColumn("how", F.lit("read"))
 
-    return maintain.merged(old, rows, new, extract).groupBy("how", "kind").agg(F.count("*").alias("n"))
+    return maintain.merged(old, rows.join(old.select("file_id"), "file_id", "left_semi"), new, extract).groupBy("how", "kind").agg(F.count("*").alias("n"))
 
 
 @query("select digest, count(*) as copies, min(path) as first from files group by digest having count(*) > 1")

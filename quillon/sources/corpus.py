@@ -4,21 +4,61 @@ A document is a file. A line that starts with a capitalised word defines that wo
 a class on the first line, a method on every third line, else a function. Later words of
 four letters or more are uses. A package symbol per file names its source. The star
 schema's regions, nations, customers and suppliers inherit and depend downwards.
+
+Definitions, uses and trigrams are written once for a folder, in the orders that an
+index keeps them in, and questions read those tables: what they ask for is pushed down
+to the files' statistics.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from hashlib import sha256
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import classify, symbol_id
-from quillon.operators.grep import lines
+from quillon.operators.graph import shared_folder
+from quillon.operators.grep import grams_of, lines
+
+#: The orders of the tables that are kept.
+ORDERS = {
+    "symbols": ("name", "file_id", "byte_start"),
+    "refs": ("name", "file_id", "byte_start"),
+    "symbols_by_file": ("file_id", "byte_start"),
+    "refs_by_file": ("file_id", "byte_start"),
+    "trigrams": ("g", "file_id"),
+}
 
 
 class Corpus:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def kept(self, name: str) -> DataFrame:
+        """A table of ORDERS, written below the shared folder when it is first asked for; again if the documents have changed."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        source = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/documents.parquet")
+        system = source.getFileSystem(conf)
+        status = system.listStatus(source)
+        stamp = sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in status)
+        at = f"{shared_folder(self.spark)}/corpus-{sha256(repr(stamp).encode()).hexdigest()[:16]}/{name}"
+        done = jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if not done.getFileSystem(conf).exists(done):
+            by = ORDERS[name]
+            made = {"symbols": lambda: self.kept("symbols_by_file"), "refs": lambda: self.kept("refs_by_file"), "symbols_by_file": self._symbols, "refs_by_file": self._refs, "trigrams": lambda: grams_of(self.texts())}[name]()
+            made.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(at)
+        return self.spark.read.parquet(at)
+
+    def symbols(self) -> DataFrame:
+        return self.kept("symbols")
+
+    def refs(self) -> DataFrame:
+        return self.kept("refs")
+
+    def trigrams(self) -> DataFrame:
+        return self.kept("trigrams")
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -33,7 +73,7 @@ class Corpus:
     def lines(self) -> DataFrame:
         return lines(self.texts())
 
-    def symbols(self) -> DataFrame:
+    def _symbols(self) -> DataFrame:
         name = F.lower(F.regexp_extract("ln", "^([A-Z][a-z]+)", 1))
         kind = F.when(F.col("line") == 1, "class").when(F.col("line") % 3 == 0, "method").otherwise("fn")
         source = F.split("path", "/")[1]
@@ -45,7 +85,7 @@ class Corpus:
         spans = both.withColumn("span_start", F.col("byte_start")).withColumn("span_end", F.col("byte_end"))
         return spans.withColumn("id", symbol_id(F.col("path"), F.col("kind"), F.col("name"), F.col("line").cast("string")))
 
-    def refs(self) -> DataFrame:
+    def _refs(self) -> DataFrame:
         words = self.lines().select("file_id", "path", "lang", "line", "byte_start", F.posexplode(F.split("ln", " ")).alias("k", "w")).where("k > 0")
         named = words.withColumn("name", F.regexp_extract("w", "^([a-z]+)[.,]?$", 1)).where("length(name) >= 4")
         kind = F.when(F.col("k") % 5 == 0, "type").otherwise("call")
@@ -78,12 +118,14 @@ class Corpus:
         return nation.union(self.table("customer").select((F.col("c_custkey") + 1000).cast("long"), (F.col("c_nationkey") + 100).cast("long")))
 
     def cyclic_deps(self) -> DataFrame:
-        """From each of the first users of events to the next, and back from the last to the first."""
-        ids = self.cyclic_modules()
-        return ids.select(F.col("module_id").alias("src"), ((F.col("module_id") + 1) % 12).alias("dst"))
+        """Customers' modules in rings, one for each nation: from each to the next by key, and from the last to the first."""
+        ring = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+        every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        following = F.coalesce(F.lead("c_custkey").over(ring), F.first("c_custkey").over(every))
+        return self.table("customer").select((F.col("c_custkey") + 1000).cast("long").alias("src"), (following + 1000).cast("long").alias("dst"))
 
     def cyclic_modules(self) -> DataFrame:
-        return self.table("events").where("user_id < 12").select(F.col("user_id").cast("long").alias("module_id")).distinct()
+        return self.table("customer").select((F.col("c_custkey") + 1000).cast("long").alias("module_id"))
 
     def file_module(self) -> DataFrame:
         """Files go to customers' modules by number; every seventh file to none."""

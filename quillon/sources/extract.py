@@ -48,21 +48,68 @@ class Source:
             "line": line, "col": start - self.starts[line - 1] + 1, "scope_path": [text(s) for s in scope],
         })
 
-    def lines(self) -> Iterator[tuple[int, str]]:
+    def lines(self, masked: bool = False) -> Iterator[tuple[int, str]]:
+        text = self.mask if masked else self.raw
         for i, start in enumerate(self.starts):
-            end = self.starts[i + 1] - 1 if i + 1 < len(self.starts) else len(self.raw)
-            yield start, self.raw[start:end]
+            end = self.starts[i + 1] - 1 if i + 1 < len(self.starts) else len(text)
+            yield start, text[start:end]
 
     def close(self, opening: int, pair: str = "{}") -> int:
         """The place after the bracket that closes the one at `opening`, or the end."""
         depth = 0
-        for m in re.finditer(f"[{re.escape(pair)}]", self.mask[opening:]):
+        for m in re.compile(f"[{re.escape(pair)}]").finditer(self.mask, opening):
             depth += 1 if m[0] == pair[0] else -1
             if not depth:
-                return opening + m.end()
+                return m.end()
         return len(self.mask)
 
 
+def squeezed(mask: str) -> tuple[str, Callable[[int], int]]:
+    """The text with each run of white space as one blank, or one line end if it has some, and the way back to places in it.
+
+    What is blanked out would otherwise be looked at again from every place in it.
+    """
+    parts, cuts, shifts, at, out = [], [0], [0], 0, 0
+    for m in re.finditer(r"\s{2,}", mask):
+        parts += [mask[at : m.start()], "\n" if "\n" in m[0] else " "]
+        out += m.start() - at + 1
+        at = m.end()
+        cuts.append(out)
+        shifts.append(at - out)
+    text = "".join([*parts, mask[at:]])
+    return text, lambda i: i + shifts[bisect_right(cuts, i) - 1]
+
+
+def brackets(text: str) -> dict[int, int]:
+    """For each opening brace the place after the one that closes it, or the end."""
+    out, open_ = {}, []
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out | dict.fromkeys(open_, len(text))
+
+
+def nesting(holders: list[tuple[tuple[int, int], str, str]]) -> Callable[[int], list[tuple[str, str]]]:
+    """A function from a place to the (name, kind) of the holders (body, name, kind) around it, outermost first, to be asked for rising places."""
+    holders, stack, following = sorted(holders), [], 0
+
+    def around(at: int) -> list[tuple[str, str]]:
+        nonlocal following
+        while following < len(holders) and holders[following][0][0] < at:
+            body = holders[following][0]
+            while stack and stack[-1][0][1] <= body[0]:
+                stack.pop()
+            stack.append(holders[following])
+            following += 1
+        while stack and stack[-1][0][1] <= at:
+            stack.pop()
+        return [(name, kind) for _, name, kind in stack]
+
+    return around
+
+
 COMMENTS = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
 C_BLANK = COMMENTS + r"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
 HASH_BLANK = r"#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'[^'\n]*'"
@@ -86,43 +133,44 @@ def braces(language: Language) -> Callable[[bytes], list[Row]]:
 
     def extract(content: bytes) -> list[Row]:
         src = Source.of(content, language.blank)
+        mask, place = squeezed(src.mask)
+        closes, ends = brackets(mask), re.compile(r"[{;]")
         found, taken = [], set()
         for pattern, kind in language.symbols:
-            for m in re.finditer(pattern, src.mask, re.M):
+            for m in re.finditer(pattern, mask, re.M):
                 name = m["name"]
                 if m.start("name") in taken or name in KEYWORDS:
                     continue
                 taken.add(m.start("name"))
-                opening = re.compile(r"[{;]").search(src.mask, m.end() - 1)
-                body = (opening.start(), src.close(opening.start())) if opening and opening[0] == "{" else (m.end(), m.end())
-                found.append([m.start("name"), m.start(), kind, name, body, (m.groupdict().get("owner") or "").strip(":.")])
+                opening = ends.search(mask, m.end() - 1)
+                body = (opening.start(), closes[opening.start()]) if opening and opening[0] == "{" else (m.end(), m.end())
+                found.append([m.start("name"), m.end() - len(m[0].lstrip()), kind, name, body, (m.groupdict().get("owner") or "").strip(":.")])
         found.sort()
         holders = [(body, name, kind) for _, _, kind, name, body, _ in found if kind in language.scopes and body[1] > body[0]]
-
-        def around(at: int) -> list[tuple[str, str]]:
-            return [(name, kind) for body, name, kind in holders if body[0] < at < body[1]]
-
+        around = nesting(holders)
         for start, first, kind, name, body, owner in found:
             outer = around(start)
             if kind in language.members:  # a function in a type is a method, one of its name a constructor
                 inside = bool(outer) and outer[-1][1] not in ("fn", "method", "ctor", "ns")
                 kind = ("ctor" if outer and outer[-1][0] == name else language.members[kind]) if inside or owner else kind
-            src.add(True, name, kind, start, [n for n, _ in outer] + ([owner] if owner else []), span=(first, max(body[1], start + len(name))))
+            last = max(body[1], start + len(name))
+            src.add(True, name, kind, place(start), [n for n, _ in outer] + ([owner] if owner else []), span=(place(first), place(last - 1) + 1))
         for pattern, kind in language.refs:
-            for m in re.finditer(pattern, src.mask, re.M):
+            around = nesting(holders)
+            for m in re.finditer(pattern, mask, re.M):
                 for part in re.finditer(r"[\w$.*:\x80-\xff]+", m["names"]) if "names" in m.groupdict() else [None]:
                     name, start = (part[0], m.start("names") + part.start()) if part else (m["name"], m.start("name"))
                     if kind in ("call", "ctor", "inherit", "type", "field") and (name in KEYWORDS or start in taken) or name in ("implements", "with", "public", "private", "protected", "virtual"):
                         continue
                     inside = [n for n, _ in around(start)]
                     child = m.groupdict().get("child")
-                    src.add(False, name, kind, start, [*inside, child] if child else inside)
+                    src.add(False, name, kind, place(start), [*inside, child] if child else inside)
         return src.rows
 
     return extract
 
 
-TYPES = rf"(?:{WORD}(?:\s*<[^;{{}}()]*>)?(?:\s*\[\s*\])*)"
+TYPES = rf"(?:{WORD}(?:\s*<[^;{{}}()]{{0,300}}>)?(?:\s*\[\s*\])*)"
 ARGS = r"\((?:[^;{}()]|\([^;{}()]*\))*\)"
 NOT = r"(?!(?:new|return|else|throw|case|goto|await|yield)\b)"
 CALL = (rf"(?<!new )(?<![\w$])(?P<name>{WORD})\s*\(", "call")
@@ -152,7 +200,7 @@ KOTLIN = Language(
 C = Language(
     [
         (rf"^[ \t]*#\s*define\s+(?P<name>{WORD})", "macro"), (rf"\bstruct\s+(?P<name>{WORD})\s*\{{", "struct"), (rf"\bunion\s+(?P<name>{WORD})\s*\{{", "union"), (rf"\benum\s+(?P<name>{WORD})\s*\{{", "enum"),
-        (rf"\btypedef\b[^;{{}}]*?(?P<name>{WORD})\s*;", "type"), (rf"(?<![\w.>:]){NOT}(?:[\w*&]+[\s*&]+)+(?P<name>{WORD})\s*{ARGS}\s*(?:const\s*)?\{{", "fn"),
+        (rf"\btypedef\b[^;{{}}]*?(?P<name>{WORD})\s*;", "type"), (rf"(?<![\w.>:]){NOT}(?:[\w*&]+[\s*&]+){{1,9}}(?P<name>{WORD})\s*{ARGS}\s*(?:const\s*)?\{{", "fn"),
     ],
     [CALL], TYPE_SCOPES,
 )
@@ -160,7 +208,7 @@ CPP = Language(
     [
         *C.symbols[:1], (rf"\bnamespace\s+(?P<name>{WORD}(?:::{WORD})*)\s*\{{", "ns"), (rf"\bclass\s+(?P<name>{WORD})\s*(?:final\s*)?(?::[^;{{]*)?\{{", "class"), (rf"\bstruct\s+(?P<name>{WORD})\s*(?::[^;{{]*)?\{{", "struct"), *C.symbols[2:3],
         (rf"\benum\s+(?:class\s+|struct\s+)?(?P<name>{WORD})[^;{{]*\{{", "enum"), *C.symbols[4:5], (rf"\busing\s+(?P<name>{WORD})\s*=", "type"),
-        (rf"(?:[\w*&<>:,]+[\s*&]+)(?P<owner>(?:{WORD}::)+)(?P<name>~?{WORD})\s*{ARGS}[^;{{}}]*\{{", "fn"), (rf"(?<![\w.>:]){NOT}(?:[\w*&<>:]+[\s*&]+)+(?P<name>{WORD})\s*{ARGS}\s*(?:const|noexcept|override|final|\s)*\{{", "fn"),
+        (rf"(?<![\w*&<>:,])(?:[\w*&<>:,]+[\s*&]+)(?P<owner>(?:{WORD}::)+)(?P<name>~?{WORD})\s*{ARGS}[^;{{}}]*\{{", "fn"), (rf"(?<![\w.>:]){NOT}(?:[\w*&<>:]+[\s*&]+){{1,9}}(?P<name>{WORD})\s*{ARGS}\s*(?:const|noexcept|override|final|\s)*\{{", "fn"),
     ],
     [(rf"\b(?:class|struct)\s+(?P<child>{WORD})\s*(?:final\s*)?:(?!:)\s*(?P<names>[^{{;]+)\{{", "inherit"), (r"\busing\s+namespace\s+(?P<name>[\w:]+)\s*;", "using-ns"), NEW, CALL],
     TYPE_SCOPES, members={"fn": "method"},
@@ -229,9 +277,38 @@ def includes(language: Language) -> Callable[[bytes], list[Row]]:
     return extract
 
 
+PYTHON_BLANK = r"#[^\n]*|\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+
+
+def python_lines(content: bytes) -> list[Row]:
+    """Python that does not parse, as of version 2: definitions, imports and calls by line, scopes by indentation."""
+    src, above = Source.of(content, PYTHON_BLANK), []
+    for start, line in src.lines(masked=True):
+        if not line.strip():
+            continue
+        depth = len(line) - len(line.lstrip())
+        above = [x for x in above if x[0] < depth]
+        scope, at = [n for _, n in above], 0
+        if m := re.match(rf"\s*(?:async\s+)?(def|class)\s+({WORD})", line):
+            src.add(True, m[2], "class" if m[1] == "class" else "fn", start + m.start(2), scope, span=(start + depth, start + len(line)))
+            above.append((depth, m[2]))
+            at, scope = m.end(), [*scope, m[2]]
+        elif m := re.match(r"\s*(?:from\s+([\w.]+)\s+import\b|import\s+([\w.]+(?:\s*,\s*[\w.]+)*))", line):
+            for name in re.findall(r"[\w.]+", m[1] or m[2]):
+                src.add(False, name, "import", start + depth, scope)
+            continue
+        for m in re.compile(rf"(?<![\w$])({WORD})\(").finditer(line, at):
+            if m[1] not in KEYWORDS and m[1] not in ("print", "and", "or", "not", "in", "lambda", "elif"):
+                src.add(False, m[1], "call", start + m.start(1), scope)
+    return src.rows
+
+
 def python(content: bytes) -> list[Row]:
     src = Source.of(content)
-    tree = ast.parse(content)
+    try:
+        tree = ast.parse(content)
+    except (SyntaxError, ValueError) as e:
+        return [*python_lines(content), {"reason": f"{type(e).__name__}: {e}"}]
 
     def place(node: ast.AST, line: int, col: int) -> int:
         return src.starts[line - 1] + col
@@ -263,9 +340,10 @@ def patterns(blank: str, *rules: tuple[str, str, bool]) -> Callable[[bytes], lis
 
     def extract(content: bytes) -> list[Row]:
         src = Source.of(content, blank)
+        mask, place = squeezed(src.mask)
         for pattern, kind, symbol in rules:
-            for m in re.finditer(pattern, src.mask, re.M):
-                src.add(symbol, m["name"], kind, m.start("name"), [m["scope"]] if "scope" in m.groupdict() and m["scope"] else [])
+            for m in re.finditer(pattern, mask, re.M):
+                src.add(symbol, m["name"], kind, place(m.start("name")), [m["scope"]] if "scope" in m.groupdict() and m["scope"] else [])
         return src.rows
 
     return extract
@@ -321,7 +399,7 @@ def strings(src: Source, start: int, end: int) -> Iterator[tuple[str, int]]:
 
 def soong(content: bytes) -> list[Row]:
     src = Source.of(content, r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)")
-    for m in re.finditer(rf"^\s*(?P<kind>{WORD})\s*\{{", src.mask, re.M):
+    for m in re.finditer(rf"^[ \t]*(?P<kind>{WORD})\s*\{{", src.mask, re.M):
         opening = m.end() - 1
         end = src.close(opening)
         named = re.compile(r'\bname\s*:\s*"([^"]*)"').search(src.mask, opening, end)
@@ -345,11 +423,11 @@ def build_calls(prefix: str, names: Callable[[str], bool], keys: Iterable[str],
         src = Source.of(content, r"#[^\n]*")
         at = 0
         while m := re.compile(rf"\b({WORD})[ \t]*\(").search(src.mask, at):
-            end = src.close(m.end() - 1, "()")
-            at, inside = end, list(strings(src, m.end(), end))
             if not names(m[1]):
                 at = m.end()
                 continue
+            end = src.close(m.end() - 1, "()")
+            at, inside = end, list(strings(src, m.end(), end))
             if m[1] in loads:
                 for value, place in inside[:1]:
                     src.add(False, value, "import", place, [f"{prefix}:{m[1]}"])
@@ -376,7 +454,7 @@ def build_calls(prefix: str, names: Callable[[str], bool], keys: Iterable[str],
 
 def cmake(content: bytes) -> list[Row]:
     src = Source.of(content, r"#[^\n]*")
-    for m in re.finditer(rf"^\s*({WORD})\s*\(([^)]*)\)", src.mask, re.M):
+    for m in re.finditer(rf"^[ \t]*({WORD})\s*\(([^)]*)\)", src.mask, re.M):
         command = m[1].lower()
         args = [(a[0].strip('"'), m.start(2) + a.start()) for a in re.finditer(r'"[^"]*"|[^\s"]+', m[2])]
         if not args:
@@ -401,9 +479,9 @@ def interfaces(hidl: bool) -> Callable[[bytes], list[Row]]:
 
     def extract(content: bytes) -> list[Row]:
         src = Source.of(content, C_BLANK)
-        package = re.search(r"^\s*package\s+([\w.@]+)\s*;", src.mask, re.M)
+        package = re.search(r"^[ \t]*package\s+([\w.@]+)\s*;", src.mask, re.M)
         outer = [package[1]] if package else []
-        for m in re.finditer(r"^\s*import\s+([\w.@:]+)\s*;", src.mask, re.M):
+        for m in re.finditer(r"^[ \t]*import\s+([\w.@:]+)\s*;", src.mask, re.M):
             src.add(False, m[1], "import", m.start(1), outer)
         for m in re.finditer(rf"\b({'|'.join(kinds)})\s+({WORD})(?:\s+extends\s+([\w.@:]+))?[^;{{}}]*([{{;])", src.mask):
             end = src.close(m.end() - 1) if m[4] == "{" else m.end()
@@ -425,8 +503,7 @@ def interfaces(hidl: bool) -> Callable[[bytes], list[Row]]:
 
 def owners(content: bytes) -> list[Row]:
     src = Source.of(content, r"#[^\n]*")
-    for start, _ in src.lines():
-        line = src.mask[start:].split("\n", 1)[0]
+    for start, line in src.lines(masked=True):
         body, at = line.strip(), start + len(line) - len(line.lstrip())
         if not body or body.lower() in ("set noparent", "noparent"):
             continue
@@ -470,8 +547,8 @@ def init_rc(content: bytes) -> list[Row]:
 
 def sepolicy(content: bytes) -> list[Row]:
     src = Source.of(content, r"#[^\n]*")
-    for start, _ in src.lines():
-        words = [(w[0], start + w.start()) for w in re.finditer(r"[^\s,:;]+", src.mask[start:].split("\n", 1)[0])]
+    for start, line in src.lines(masked=True):
+        words = [(w[0], start + w.start()) for w in re.finditer(r"[^\s,:;]+", line)]
         verb = words[0][0] if words else ""
         if verb in ("type", "attribute") and len(words) > 1:
             src.add(True, words[1][0], "sepolicy", words[1][1], ["attribute"] if verb == "attribute" else [])
@@ -568,7 +645,8 @@ EXTRACTED = "file_id long, path string, lang string, symbol boolean, name string
 def extracted(files: DataFrame, seconds: float = 60.0) -> DataFrame:
     """A row for each definition and use in files (file_id, path, lang, content).
 
-    A file that fails or takes more than so many seconds gives one row with a reason.
+    A file that fails or takes more than so many seconds gives one row with a reason; Python
+    that does not parse gives that row and what its lines tell.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -579,7 +657,7 @@ def extracted(files: DataFrame, seconds: float = 60.0) -> DataFrame:
                 try:
                     with within(seconds):
                         rows = extract(row["lang"], row["path"], row["content"] or b"")
-                except (SyntaxError, ValueError, RecursionError, TimeoutError) as e:
+                except Exception as e:  # MemoryError and RecursionError too: the file costs its rows, not the task
                     rows = [{"reason": f"{type(e).__name__}: {e}"}]
                 if rows:
                     own = [pa.array([row[k]] * len(rows), t) for k, t in (("file_id", pa.int64()), ("path", pa.string()), ("lang", pa.string()))]

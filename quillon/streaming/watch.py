@@ -18,17 +18,20 @@ def changes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def watch(spark: SparkSession, index: Index, roots: dict[str, str], checkpoint: str, debounce: str = "500 milliseconds", once: bool = False) -> StreamingQuery:
-    """Refreshes the index when files of the first root arrive; the trigger's interval gathers bursts of changes.
+    """Refreshes the index when files of any root arrive; the trigger's interval gathers bursts of changes.
 
     A refresh lists the trees anew, so that deleted files leave the index too.
     """
-    root = next(iter(roots))
 
     def refresh(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
             index.refresh(roots)
 
-    writer = changes(spark, root).writeStream.option("checkpointLocation", checkpoint).foreachBatch(refresh)
+    streams = [changes(spark, root) for root in roots]
+    arrived = streams[0]
+    for other in streams[1:]:
+        arrived = arrived.union(other)
+    writer = arrived.writeStream.option("checkpointLocation", checkpoint).foreachBatch(refresh)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=debounce)).start()
 
 

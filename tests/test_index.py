@@ -13,17 +13,17 @@ from quillon.sources.tree import Index, changed_since, count_by_kind, walk
 from quillon.streaming.watch import bursts, watch
 
 FILES = {
-    "a/Animal.java": "package zoo;\nclass Animal {\n  void speak() { cry(); }\n  void cry() { }\n}\n",
-    "a/Dog.java": "package zoo;\nclass Dog extends Animal {\n  void bark() { speak(); }\n}\n",
-    "a/Puppy.java": "package zoo;\nclass Puppy extends Dog {\n  void yap() { bark(); }\n}\n",
-    "tests/DogTest.java": "package zoo;\nclass DogTest {\n  void bark() { new Dog().bark(); }\n}\n",
-    "Android.bp": 'cc_library {\n name: "libzoo",\n srcs: ["a.c"],\n}\n',
-    "zoo.rc": "service zoo /bin/zoo\n  class main\n",
+    "a/Boat.java": "package port;\nclass Boat {\n  void leave() { cast(); }\n  void cast() { }\n}\n",
+    "a/Ferry.java": "package port;\nclass Ferry extends Boat {\n  void cross() { leave(); }\n}\n",
+    "a/Shuttle.java": "package port;\nclass Shuttle extends Ferry {\n  void hurry() { cross(); }\n}\n",
+    "tests/FerryTest.java": "package port;\nclass FerryTest {\n  void cross() { new Ferry().cross(); }\n}\n",
+    "Android.bp": 'cc_library {\n name: "libport",\n srcs: ["a.c"],\n}\n',
+    "port.rc": "service port /bin/port\n  class main\n",
     "bad.py": "def broken(:\n",
     "blob.ts": "x" * 100 + "\0" + "y" * 1500,
     "node_modules/skip.js.py": "def hidden(): pass\n",
     "README.unknown": "nothing\n",
-    "note.md": "# Títle é\nspeak of été\n",
+    "note.md": "# Títle é\nleave in été\n",
 }
 
 
@@ -62,39 +62,39 @@ def test_files_are_numbered_in_order(index):
 
 def test_definitions_and_errors(index):
     symbols = index.living("symbols")
-    assert {r.kind for r in lookup.definitions(symbols, "Dog").collect()} == {"class"}
-    first = lookup.definitions(symbols, "bark").collect()
+    assert {r.kind for r in lookup.definitions(symbols, "Ferry").collect()} == {"class"}
+    first = lookup.definitions(symbols, "cross").collect()
     assert [r.path.rsplit("/", 2)[-2] for r in first] == ["a", "tests"]  # a test's path ranks lower
-    assert names(lookup.definitions(symbols, "bark", outside="/tests/"), "path") == {first[0].path}
-    assert lookup.definitions(symbols, "zoo", kind="PKG").count() == 1
+    assert names(lookup.definitions(symbols, "cross", outside="/tests/"), "path") == {first[0].path}
+    assert lookup.definitions(symbols, "port", kind="PKG").count() == 1
     assert names(index.table("errors"), "reason").pop().startswith("SyntaxError")
     assert index.health() == []
 
 
 def test_inheritance_and_calls(index):
     symbols, uses = index.living("symbols"), index.living("refs")
-    assert names(graph.subclasses(uses, symbols, "Animal")) == {"Dog"}
-    assert names(graph.subclasses(uses, symbols, "Animal", 2)) == {"Dog", "Puppy"}
-    assert {(r.level, r.callee, r.caller) for r in graph.callgraph(uses, symbols, "cry", 3).collect()} >= {(1, "cry", "speak"), (2, "speak", "bark"), (3, "bark", "yap")}
-    assert graph.callgraph(uses, symbols, "cry", 1).count() == 1
-    assert names(refs.uses(uses, symbols, "speak", "call")) == {"cry"}
-    touched = {r.path.rsplit("/", 1)[-1]: (r.callers, r.subclasses) for r in graph.impact(uses, symbols, "Dog").collect()}
-    assert touched == {"Puppy.java": (0, 1)}
+    assert names(graph.subclasses(uses, symbols, "Boat")) == {"Ferry"}
+    assert names(graph.subclasses(uses, symbols, "Boat", 2)) == {"Ferry", "Shuttle"}
+    assert {(r.level, r.callee, r.caller) for r in graph.callgraph(uses, symbols, "cast", 3).collect()} >= {(1, "cast", "leave"), (2, "leave", "cross"), (3, "cross", "hurry")}
+    assert graph.callgraph(uses, symbols, "cast", 1).count() == 1
+    assert names(refs.uses(uses, symbols, "leave", "call")) == {"cast"}
+    touched = {r.path.rsplit("/", 1)[-1]: (r.callers, r.subclasses) for r in graph.impact(uses, symbols, "Ferry").collect()}
+    assert touched == {"Shuttle.java": (0, 1)}
     assert all(r.resolved_to is None for r in uses.collect())
 
 
 def test_resolution_and_formats(index):
     symbols, uses = index.living("symbols"), index.living("refs")
-    resolved = refs.resolved(uses.where("name = 'bark'"), symbols)
+    resolved = refs.resolved(uses.where("name = 'cross'"), symbols)
     assert names(resolved, "resolution") == {"same_lang"}
     assert [r.n for r in refs.by_definition(resolved, symbols).collect()] == [2]
-    assert [r.path.rsplit("/", 1)[-1] for r in refs.paths(refs.find(uses, "bark")).collect()] == ["Puppy.java", "DogTest.java"]
+    assert [r.path.rsplit("/", 1)[-1] for r in refs.paths(refs.find(uses, "cross")).collect()] == ["Shuttle.java", "FerryTest.java"]
 
 
 def test_whereis_and_places(index):
     server = Server(index)
-    got = next(server.request({"id": 1, "cmd": "whereis", "args": {"path": "a/Dog.java:3:17"}}))
-    assert got["result"][0]["name"] == "bark"
+    got = next(server.request({"id": 1, "cmd": "whereis", "args": {"path": "a/Ferry.java:3:17"}}))
+    assert got["result"][0]["name"] == "cross"
     assert lookup.parse_place("a.b:3:4") == ("a.b", None, 3, 4)
     assert lookup.parse_place("x@12") == ("x", 12, None, None)
     with pytest.raises(ValueError):
@@ -105,13 +105,16 @@ def test_whereis_and_places(index):
 
 def test_grep(index):
     texts, postings = index.texts(), index.table("trigrams")
-    for pattern, options in (("speak", {}), ("sp", {}), ("SPEAK", {"ignore_case": True}), ("s[p]eak|cry", {}), ("été", {}), ("ÉTÉ", {"ignore_case": True}), ("bark\\(\\)", {}), ("nowhere", {})):
+    for pattern, options in (("leave", {}), ("le", {}), ("LEAVE", {"ignore_case": True}), ("l[e]ave|cast", {}), ("été", {}), ("ÉTÉ", {"ignore_case": True}), ("cross\\(\\)", {}), ("nowhere", {})):
         scan = grep.search(texts, pattern, **options).collect()
         assert scan == grep.search(texts, pattern, postings=postings, **options).collect(), pattern
     hit = grep.search(texts, "été").collect()[0]
     assert (hit.line, hit.col, hit.byte) == (2, 10, len("# Títle é\n".encode()) + 9)
-    assert grep.search(texts, "speak", per_file=1).count() == 3
-    assert grep.counts(grep.search(texts, "bark")).first().files == 3
+    many = index.spark.createDataFrame([(0, "/x", "C", "ab é ab\n\nxab"), (1, "/y", "C", None), (2, "/z", "C", "")], "file_id long, path string, lang string, text string")
+    assert [(r.line, r.col, r.byte) for r in grep.search(many, "ab").collect()] == [(1, 1, 0), (1, 7, 6), (3, 2, 11)]
+    assert [(r.file_id, r.line, r.byte_start) for r in grep.lines(many).collect()] == [(0, 1, 0), (0, 2, 9), (0, 3, 10), (2, 1, 0)]
+    assert grep.search(texts, "leave", per_file=1).count() == 3
+    assert grep.counts(grep.search(texts, "cross")).first().files == 3
 
 
 def test_long_lines_are_cut_between_characters(spark):
@@ -144,15 +147,93 @@ def test_refresh_diff_tombstone_compact(spark, tmp_path):
 
 
 def test_watch(spark, tmp_path):
+    first, second = tmp_path / "t", tmp_path / "u"
+    for root, name in ((first, "A"), (second, "C")):
+        root.mkdir()
+        (root / f"{name}.java").write_text(f"class {name} {{ }}")
+    roots = {str(first): "generic", str(second): "generic"}
+    index = Index(spark, str(tmp_path / "i"))
+    index.build(roots)
+    for root, name in ((first, "B"), (second, "D")):
+        (root / f"{name}.java").write_text(f"class {name} {{ }}")
+        query = watch(spark, index, roots, str(tmp_path / "c"), once=True)
+        assert query.awaitTermination(60)
+        assert name in names(index.living("symbols"))
+    assert names(index.living("symbols")) == {"A", "B", "C", "D"}
+
+
+@pytest.mark.parametrize("files,size", [(300, 100_000), (2_000, 10_000)])
+def test_no_file_is_lost(spark, tmp_path, files, size):
+    """Trees above Spark's partition sizes: all files are numbered, from 0 without a gap, and in every table."""
+    for i in range(files):
+        (tmp_path / "t" / f"d{i % 7}").mkdir(parents=True, exist_ok=True)
+        line = f"/* {i} */ class K{i} {{ void m{i}() {{ n(); }} }}\n"
+        (tmp_path / "t" / f"d{i % 7}" / f"K{i}.java").write_text(line + "// words in a comment\n" * (size // 22))
+    index = Index(spark, str(tmp_path / "i"))
+    index.build({str(tmp_path / "t"): "generic"}, trigrams=False)
+    assert index.table("files").count() == index.table("contents").count() == files
+    assert sorted(r.file_id for r in index.table("files").select("file_id").collect()) == list(range(files))
+    assert names(index.table("symbols").where("kind = 'class'")) == {f"K{i}" for i in range(files)}
+    assert index.health() == []
+    kept = index.manifest()["files"]
+    broken = index.manifest() | {"files": kept + 1}
+    index.publish(broken)
+    assert index.health() == [f"{files} files in the tables, {files + 1} were found"]
+
+
+def test_limit_references_skip_resume(spark, tmp_path):
     root = tmp_path / "t"
     root.mkdir()
-    (root / "A.java").write_text("class A { }")
+    for name in "DBCA":
+        (root / f"{name}.java").write_text(f"class {name} {{ void f() {{ g(); }} }}")
+    roots = {str(root): "generic"}
     index = Index(spark, str(tmp_path / "i"))
-    index.build({str(root): "generic"})
-    (root / "B.java").write_text("class B { }")
-    query = watch(spark, index, {str(root): "generic"}, str(tmp_path / "c"), once=True)
-    assert query.awaitTermination(60)
-    assert names(index.living("symbols")) == {"A", "B"}
+    index.build(roots, limit=2, references=False, skip=[f"{root}/B.java"])
+    assert names(index.table("files"), "relpath") == {"A.java", "B.java"}
+    assert names(index.living("symbols")) == {"A", "f"} and index.table("refs").count() == 0
+    real, calls = index._write, []
+
+    def failing(df, segment, name):
+        calls.append(name)
+        if name == "refs":
+            raise RuntimeError("broken off")
+        return real(df, segment, name)
+
+    index._write = failing
+    with pytest.raises(RuntimeError):
+        index.build(roots)
+    index._write = real
+    assert names(index.living("symbols")) == {"A", "f"}  # readers still see the old version
+    with pytest.raises(ValueError):
+        index.build(roots, trigrams=False, resume=True)
+    staged = json.loads(index._text("building"))["segment"]
+    index.build(roots, resume=True)
+    assert names(index.living("symbols")) == {"A", "B", "C", "D", "f"} and index.health() == []
+    assert index.manifest()["tables"]["symbols"] == [f"{staged}/symbols"]
+
+
+def test_refresh_reads_and_writes_what_changed(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    for i in range(20):
+        (root / f"F{i:02}.java").write_text(f"class F{i:02} {{ }}")
+    roots = {str(root): "generic"}
+    index = Index(spark, str(tmp_path / "i"))
+    index.build(roots)
+    (root / "F03.java").write_text("class Changed { void x() { } }")
+    (root / "F04.java").unlink()
+    (root / "[odd] {name}.java").write_text("class Odd { }")
+    index.refresh(roots)
+    places = index.manifest()["tables"]["contents"]
+    assert [spark.read.parquet(f"{index.folder}/{p}").count() for p in places] == [20, 2]
+    assert names(index.living("symbols").where("kind = 'class'")) == {f"F{i:02}" for i in range(20) if i not in (3, 4)} | {"Changed", "Odd"}
+    assert index.health() == [] and index.refresh(roots) is None
+    (root / "F05.java").touch()  # a new time, the same content
+    assert index.refresh(roots) is None
+    before = {tuple(r) for r in index.living("symbols").select("name", "path").collect()}
+    index.compact()
+    assert len(index.manifest()["tables"]["contents"]) == 1 and index.health() == []
+    assert {tuple(r) for r in index.living("symbols").select("name", "path").collect()} == before
 
 
 def test_bursts(spark):
@@ -164,20 +245,20 @@ def test_bursts(spark):
 def test_requests(index):
     server = Server(index)
     ask = lambda cmd, **args: next(server.request({"id": 7, "cmd": cmd, "args": args}))
-    assert ask("def", name="Dog")["result"][0]["name"] == "Dog"
-    assert {r["name"] for r in ask("prefix", name="Do")["result"]} == {"Dog", "DogTest"}
-    assert ask("fuzzy", name="Pupy")["result"][0]["name"] == "Puppy"
-    assert ask("ref", name="bark", format="count")["result"] == [{"count": 2}]
-    assert ask("callers", name="bark")["result"][0]["kind"] == "call"
-    assert ask("tldr", path="a/Dog.java")["result"]["kinds"] == {"pkg": 1, "class": 1, "method": 1}
-    assert [r["name"] for r in ask("outline", path="a/Dog.java")["result"]] == ["zoo", "Dog", "bark"]
+    assert ask("def", name="Ferry")["result"][0]["name"] == "Ferry"
+    assert {r["name"] for r in ask("prefix", name="Fe")["result"]} == {"Ferry", "FerryTest"}
+    assert ask("fuzzy", name="Shutle")["result"][0]["name"] == "Shuttle"
+    assert ask("ref", name="cross", format="count")["result"] == [{"count": 2}]
+    assert ask("callers", name="cross")["result"][0]["kind"] == "call"
+    assert ask("tldr", path="a/Ferry.java")["result"]["kinds"] == {"pkg": 1, "class": 1, "method": 1}
+    assert [r["name"] for r in ask("outline", path="a/Ferry.java")["result"]] == ["port", "Ferry", "cross"]
     assert ask("coverage", path="/a/")["result"][0]["files"] == 3
     assert ask("stats")["result"]["files"] == 8
-    assert ask("grep", pattern="libzoo")["result"][0]["line"] == 2
+    assert ask("grep", pattern="libport")["result"][0]["line"] == 2
     assert ask("nope")["error"]["code"] == -32601
     assert ask("outline", path="none")["error"]["code"] == -32602
     assert next(server.request("{"))["error"]["code"] == -32700
-    out = list(server.request({"id": 1, "cmd": "def", "args": {"name": "bark"}, "stream": True}))
+    out = list(server.request({"id": 1, "cmd": "def", "args": {"name": "cross"}, "stream": True}))
     assert out[-1] == {"id": 1, "done": True, "shown": 2}
     assert len(list(server.serve([json.dumps({"id": 1, "cmd": "stats"}), ""]))) == 1
     assert [x["cmd"] for x in server.log][:2] == ["def", "prefix"]
@@ -193,7 +274,7 @@ def test_budget():
 
 def test_owners():
     got = summary.parse_owners("# c\na@x\nset noparent\nper-file *.c = b@x\nfile:/O\nnot an @ email\n")
-    assert got == {"emails": ["a@x"], "per_file": ["*.c = b@x", "file:/O"], "noparent": True}
+    assert got == {"emails": ["a@x"], "per_file": ["*.c = b@x", "file:/O"], "noparent": True, "rules": [("^.*\\.c$", ["b@x"])]}
 
 
 def test_module_graphs(spark):
@@ -201,7 +282,10 @@ def test_module_graphs(spark):
     assert (cargo.names, cargo.deps, cargo.files) == ({"a": 0, "b": 1}, {(0, 1)}, {"a/src/x.rs": 0, "b/tests/y.rs": 1})
     soong = modules.soong(json.dumps({"m": {"module_name": "m", "path": ["p"], "dependencies": ["n"]}, "n": {"module_name": "n", "path": ["p/q"], "dependencies": []}}).encode(), ["p/a.c", "p/q/r/b.c", "z.c"])
     assert (soong.deps, soong.files) == ({(0, 1)}, {"p/a.c": 0, "p/q/r/b.c": 1})
-    kernel = modules.kernel(["fs/a.c", "mm/b.c", "c.c"])
+    kernel = modules.kernel(["fs/a.c", "mm/b.c", "c.c", "Makefile", "Kconfig", "LICENSES/x.c"])
+    for other in (["fs/a.c"], ["Makefile", "Kconfig", "x/y.c"]):
+        with pytest.raises(ValueError):
+            modules.kernel(other)
     assert (kernel.deps, kernel.files) == ({(0, 1), (1, 0)}, {"fs/a.c": 0, "mm/b.c": 1})
     gn = modules.gn(json.dumps({"targets": {"//a": {"deps": ["//b"], "sources": ["//x.cc"]}, "//b": {"sources": ["//x.cc", "//y.cc"]}}}).encode(), ["x.cc", "y.cc"])
     assert (gn.deps, gn.files) == ({(0, 1)}, {"x.cc": 0, "y.cc": 1})
@@ -234,7 +318,7 @@ def test_module_graph_of_an_index(spark, tmp_path):
         (root / crate / "Cargo.toml").write_text(f'[package]\nname = "{crate}"\n' + (f'[dependencies]\n{target} = {{ path = "../{target}" }}\n' if target else ""))
         (root / crate / "src" / "lib.rs").write_text("fn probe() {}\n" if crate == "b" else "fn run() { probe(); }\n")
     (root / "OWNERS").write_text("top@x\n")
-    (root / "a" / "OWNERS").write_text("a@x\n")
+    (root / "a" / "OWNERS").write_text("a@x\nper-file *.rs, x?.c = rust@x\nper-file *.c = c@x\n")
     (root / "b" / "OWNERS").write_text("set noparent\nb@x\n")
     index = Index(spark, str(tmp_path / "i"))
     index.build({str(root): "generic"})
@@ -254,8 +338,9 @@ def test_module_graph_of_an_index(spark, tmp_path):
     index.compact()
     assert crates(ask("callers", name="probe", reachable=True)) == {"a"}
     emails = lambda **args: [r["email"] for r in ask("owner", **args)]
-    assert emails(path="a/src/lib.rs") == ["a@x"]
-    assert emails(path="a/src/lib.rs", accumulate=True) == ["a@x", "top@x"]
+    assert emails(path="a/src/lib.rs") == ["a@x", "rust@x"]
+    assert emails(path="a/src/lib.rs", accumulate=True) == ["a@x", "rust@x", "top@x"]
+    assert emails(path="a/Cargo.toml") == ["a@x"]
     assert emails(path="b/src/lib.rs", accumulate=True) == ["b@x"]
     assert emails(path="c/src/lib.rs") == ["top@x"]
     assert index.warm() > 0
