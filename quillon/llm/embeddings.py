@@ -27,11 +27,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.llm.shared import redealt, stored
+from quillon.llm.shared import bounded, redealt, stored
 
 THRESHOLD = 0.93
 #: Share of pairs exactly at the threshold that may meet in no bucket.
@@ -199,42 +200,50 @@ def _verifier(threshold: float):
     """
     most = np.arccos(threshold)
 
-    def pairs(side: np.ndarray, vec: np.ndarray, code: int, own: list[np.ndarray], radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Linked pairs of a part that meet here first, and pairs with groups as (a, b, verdict): within it for side 2, else across sides 0 and 1, of which one may be empty."""
-        unit = _unit(vec)
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side[0] != 2 else (np.arange(len(side)),) * 2
+    def near(unit: np.ndarray, radius: np.ndarray, side: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a large part, and their cosines, that may be linked: within it for side 2, else across sides 0 and 1."""
+        rows = np.arange(start, stop)
+        left, right = (rows, rows) if side[start] == 2 else (rows[side[start:stop] == 0], rows[side[start:stop] == 1])
         cosine = unit[left] @ unit[right].T
-        if side[0] == 2:
-            cosine = np.where(np.triu(np.ones(cosine.shape, bool), 1), cosine, -2.0)
-        wide = radius[left][:, None] + radius[right]
-        single = wide == 0
-        a, b = np.nonzero(single & (cosine >= threshold))
-        a, b = left[a], right[b]
-        verdicts = np.zeros((0, 3), np.int64)
-        if not single.all():
-            angle = np.arccos(np.clip(cosine, -1, 1))
-            x, y = np.nonzero(~single & (cosine > -1.5) & (angle - wide <= most + SLACK))
-            sure = angle[x, y] + wide[x, y] <= most - SLACK
-            verdicts = np.stack([left[x], right[y], np.where(sure, 1, 2)], 1)
+        ok = np.arccos(np.clip(cosine, -1, 1)) - (radius[left][:, None] + radius[right]) <= most + SLACK
+        if side[start] == 2:
+            ok = np.triu(ok, 1)
+        x, y = np.nonzero(ok)
+        return left[x], right[y], cosine[x, y]
+
+    def few(unit: np.ndarray, radius: np.ndarray, side: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same for many small parts at once."""
+        sizes = stops - starts
+        a = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+        number = np.repeat(stops, sizes) - a - 1  # rows that follow in the part
+        b = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number) + np.repeat(a + 1, number)
+        a = np.repeat(a, number)
+        keep = (side[a] == 2) | (side[a] != side[b])
+        a, b = a[keep], b[keep]
+        for at in range(0, len(a), 1 << 14):
+            x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+            cosine = np.einsum("ij,ij->i", unit[x], unit[y])
+            ok = np.arccos(np.clip(cosine, -1, 1)) - (radius[x] + radius[y]) <= most + SLACK
+            yield x[ok], y[ok], cosine[ok]
+
+    def first_here(a: np.ndarray, b: np.ndarray, codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Whether pairs of single vectors, rows a and b, meet in no lesser code than that of their part."""
         keep = np.ones(len(a), bool)
-        if len(a):
-            # singles have equally many codes; groups have none here
-            table = np.stack([c if len(c) else np.zeros_like(own[a[0]]) for c in own])
-            for at in range(0, len(a), 1 << 15):
-                x, y = table[a[at : at + (1 << 15)]], table[b[at : at + (1 << 15)]]
-                first = np.full(len(x), np.iinfo(np.int64).max)
-                for k in range(x.shape[1]):
-                    same = (x[:, k : k + 1] == y).any(1)
-                    first = np.where(same, np.minimum(first, x[:, k]), first)
-                keep[at : at + (1 << 15)] = first == code
-        return np.stack([a[keep], b[keep]], 1), verdicts
-
-    def forest(n: int, linked: np.ndarray) -> list[tuple[int, int]]:
-        root = list(range(n))
+        for at in range(0, len(a), 1 << 15):
+            x, y = codes[a[at : at + (1 << 15)]], codes[b[at : at + (1 << 15)]]
+            first = np.full(len(x), np.iinfo(np.int64).max)
+            for k in range(x.shape[1]):
+                same = (x[:, k : k + 1] == y).any(1)
+                first = np.where(same, np.minimum(first, x[:, k]), first)
+            keep[at : at + (1 << 15)] = first == code[a[at : at + (1 << 15)]]
+        return keep
+
+    def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+        root: dict[int, int] = {}
 
         def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
+            while (up := root.setdefault(i, i)) != i:
+                root[i] = root[up]
                 i = root[i]
             return i
 
@@ -251,26 +260,38 @@ def _verifier(threshold: float):
         held: pa.Table | None = None
         seen: set[tuple] = set()
 
-        def work(table: pa.Table) -> pa.RecordBatch | None:
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Rows of whole parts; those of one length of vectors and number of codes are looked at together."""
+            shape = pc.list_value_length(table.column(7)).to_numpy()
+            for dim in np.unique(shape).tolist():
+                if (out := of_width(table.filter(pa.array(shape == dim)) if (shape != dim).any() else table)) is not None:
+                    yield out
+
+        def of_width(table: pa.Table) -> pa.RecordBatch | None:
             part, side, code, reps, weights, radius = (table.column(k).to_numpy() for k in range(6))
+            unit = _unit(table.column(7).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(reps), -1))
+            sizes = pc.list_value_length(table.column(6)).to_numpy()
+            own = np.zeros((len(reps), int(sizes.max())), np.int64)  # single vectors have equally many codes, groups none here
+            own[sizes > 0] = table.column(6).combine_chunks().flatten().to_numpy().reshape(-1, own.shape[1]) if own.shape[1] else 0
             edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            own = [x.values.to_numpy() for x in table.column(6)]
-            vecs = table.column(7).combine_chunks()
-            links, forests, verdicts = np.zeros(len(reps), np.int64), [], []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b - a < 2:
-                    continue
-                vec = vecs.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
-                linked, doubts = pairs(side[a:b], vec, int(code[a]), own[a:b], radius[a:b])
-                if len(linked):
-                    np.add.at(links, a + linked[:, 0], weights[a + linked[:, 1]])
-                    np.add.at(links, a + linked[:, 1], weights[a + linked[:, 0]])
-                    forests += [(int(reps[a + x]), int(reps[a + y])) for x, y in forest(b - a, linked)]
-                for x, y, verdict in doubts.tolist():
-                    key = (*sorted((int(reps[a + x]), int(reps[a + y]))), verdict)
-                    if key not in seen:
-                        verdicts.append(key)
-                        seen.add(key)
+            starts, stops = edges[:-1], edges[1:]
+            small = stops - starts <= 48
+            found = list(few(unit, radius, side, starts[small], stops[small]))
+            found += [near(unit, radius, side, x, y) for x, y in zip(starts[~small].tolist(), stops[~small].tolist(), strict=True)]
+            a, b, cosine = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            wide = radius[a] + radius[b]
+            linked = np.stack([a, b], 1)[(wide == 0) & (cosine >= threshold)]
+            linked = linked[first_here(linked[:, 0], linked[:, 1], own, code)]
+            links, verdicts = np.zeros(len(reps), np.int64), []
+            np.add.at(links, linked[:, 0], weights[linked[:, 1]])
+            np.add.at(links, linked[:, 1], weights[linked[:, 0]])
+            forests = [(int(reps[x]), int(reps[y])) for x, y in forest(linked)]
+            sure = np.arccos(np.clip(cosine, -1, 1)) + wide <= most - SLACK
+            for x, y, certain in zip(reps[a[wide > 0]].tolist(), reps[b[wide > 0]].tolist(), sure[wide > 0].tolist(), strict=True):
+                key = (min(x, y), max(x, y), 1 if certain else 2)
+                if key not in seen:
+                    verdicts.append(key)
+                    seen.add(key)
             if len(seen) > 1 << 20:
                 seen.clear()
             some = np.flatnonzero(links)
@@ -289,11 +310,11 @@ def _verifier(threshold: float):
                 continue
             part = held.column(0).to_numpy()
             whole = int(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))[-1])  # the last part may go on
-            if whole and (out := work(held.slice(0, whole))) is not None:
-                yield out
+            if whole:
+                yield from work(held.slice(0, whole))
             held = held.slice(whole)
-        if held is not None and held.num_rows and (out := work(held)) is not None:
-            yield out
+        if held is not None and held.num_rows:
+            yield from work(held)
 
     return verified
 
@@ -367,7 +388,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     verdicts = stored(found.where("verdict is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"), "verdict").distinct(), "verdicts")
     sure = verdicts.where("verdict = 1").select("a", "b")
     totals = members.select("group", "n", "total").distinct()
-    gained = sure.union(sure.select("b", "a")).toDF("group", "other").join(totals.select(F.col("group").alias("other"), "total"), "other").groupBy("group").agg(F.sum("total").alias("gained"))
+    gained = stored(sure.union(sure.select("b", "a")).toDF("group", "other").join(totals.select(F.col("group").alias("other"), "total"), "other").groupBy("group").agg(F.sum("total").alias("gained")), "gained")
     blocks = totals.select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     doubt = verdicts.where("verdict = 2").select("a", "b").join(blocks.toDF("a", "p"), "a").join(blocks.toDF("b", "q"), "b")
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
@@ -381,7 +402,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     ties = both.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))
     nodes = connected_components(ties.union(sure.toDF("u", "v")).union(members.where("rep <> group").select("rep", "group")))
     counts = both.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    named = members.join(gained, "group", "left").join(counts, "rep", "left").join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
+    named = members.join(bounded(gained), "group", "left").join(counts, "rep", "left").join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
     links = F.coalesce("links", F.lit(0)) + F.coalesce("gained", F.lit(0)) + F.col("total") - 1
     named = named.select("rep", links.alias("n_links"), F.coalesce("root", "rep").alias("root")).join(reps.select("rep", "label", "vec", "least"), "rep")
     named = stored(named.select("label", "vec", "least", "n_links", "root"), "named")

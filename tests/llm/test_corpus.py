@@ -208,14 +208,35 @@ def test_embeddings_equal_brute_force(spark, block, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("dim,joined", [(64, 2), (64, 3), (384, 2), (768, 2)])
+def test_recall_at_the_threshold(dim, joined):
     rng = np.random.default_rng(1)
-    x, z = rng.normal(size=(2, 1500, 64))
+    x, z = rng.normal(size=(2, 1000, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (z * x).sum(1, keepdims=True) * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    a, b = embeddings.codes(x), embeddings.codes(y)
-    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) > 0.99
+    a, b = embeddings.codes(x, joined), embeddings.codes(y, joined)
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) > 0.995
+    assert embeddings.rotations(1000, 64) == 2 and embeddings.rotations(10**8, 64) == 3
+
+
+@pytest.mark.parametrize("block", [128, 8])
+def test_groups_of_near_copies(spark, block, monkeypatch):
+    """Tight groups, loose ones whose members must be compared, and vectors at their rims."""
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(5, 64))
+    rows = [(i, (centres[i % 5] + rng.normal(size=64) * (0.05, 0.1, 0.16, 0.2, 0.27)[i % 5]).tolist(), 0) for i in range(250)]
+    rows += [(300 + i, (centres[0] + rng.normal(size=64) * 0.35).tolist(), 0) for i in range(40)] + [(400 + i, rows[5 * i][1], 0) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, want = ({r[0]: r[1:] for r in x} for x in (map(tuple, embeddings.near_duplicates(df).collect()), brute_links(rows)))
+    assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
+    lost = sum(want[i][0] - got[i][0] for i in want)
+    assert all(got[i][0] <= want[i][0] for i in want) and lost <= 0.002 * sum(n for n, _ in want.values())
+    reps = embeddings.stored(df.select(F.col("vec_id").alias("rep"), "label", F.col("embedding").alias("vec"), F.lit(1).cast("long").alias("weight")), "reps")
+    coded = embeddings.stored(reps.select("rep", "label", "vec").mapInArrow(embeddings._coder(300), "rep long, label int, dim int, codes array<long>"), "codes")
+    _, groups = embeddings._groups(reps, coded, 0.93)
+    assert groups.count() >= 2 and groups.where("radius > 0.37").isEmpty()
 
 
 def test_archives(spark, tmp_path):
