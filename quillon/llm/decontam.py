@@ -9,30 +9,38 @@ test words and long enough for a window enter the array; nothing that could
 match is left out.
 
 The test items are dealt to blocks of bounded size by hash of their id. Each
-block is a broadcast variable that a worker loads, uses and forgets, so one pass
-over the training documents serves any number of items.
+block is made by an executor and is a broadcast variable that a worker loads,
+uses and forgets. A pass over the training documents serves up to PASS_BLOCKS
+blocks, so what is broadcast is bounded; more items take further passes, each of
+which adds to what the one before has found. A block has a vocabulary of its
+own, so a shard's suffix array is made anew for each block: it only holds the
+stretches that are made of the block's words.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import slices
+from quillon.llm.shared import slices, stored
 
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Text of test items, and of training documents, that a worker holds as arrays at once.
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 4 << 20
+#: Blocks that are broadcast for one pass over the documents: about 5 times BLOCK_BYTES each.
+PASS_BLOCKS = 64
 #: Words of test suffixes that are compared at once.
 COMPARED = 1 << 20
+LONGEST = ("item", "item_word", "doc_word", "words")
 SPANS = "n_words long, n_hit long, spans array<struct<start:long,stop:long>>, items array<string>, n_items long, longest struct<item:string,item_word:long,doc_word:long,words:long>"
 
 
@@ -48,21 +56,21 @@ class Tests:
         self.names = [name for name, _ in items]
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words), 1)}
         self.depth = max((len(words) for _, words in items), default=0)
-        strings, self.windows = [], {}
+        strings, windows = [], {}
         at = 0
         for i, (_, words) in enumerate(items):
             numbers = [self.vocabulary[w] for w in words]
             size = min(width, len(words))
             for k in range(len(words) - size + 1 if size else 0):
-                window = self.windows.setdefault(tuple(numbers[k : k + size]), (at + k, set()))
+                window = windows.setdefault(tuple(numbers[k : k + size]), (at + k, set()))
                 window[1].add(i)
             strings.append(np.array([*numbers, -1], np.int64))
             at += len(numbers) + 1
         self.string = np.concatenate([*strings, np.array([-1], np.int64)])
         self.starts = np.cumsum([0, *(len(s) for s in strings)])
-        self.places = np.array([w[0] for w in self.windows.values()], np.int64)
-        self.sizes = np.array([len(k) for k in self.windows], np.int64)
-        self.owners = [sorted(w[1]) for w in self.windows.values()]
+        self.places = np.array([w[0] for w in windows.values()], np.int64)
+        self.sizes = np.array([len(k) for k in windows], np.int64)
+        self.owners = [sorted(w[1]) for w in windows.values()]
 
     def rows(self, places: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
         """The words at each place, cut after sizes, then `end`."""
@@ -117,15 +125,23 @@ def _expanded(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Shard:
-    """The words of some documents, one after another, and what was found in them."""
+    """The words of some documents, one after another, and what was found in them; before: what a pass before has found in each."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], before: list[dict | None] | None = None):
         self.words = [words_of(t) for t in texts]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)])  # a gap after each document
         self.edges = np.zeros(int(self.starts[-1]) + 1, np.int32)
         self.items: list[dict[tuple[int, int], str | None]] = [{} for _ in texts]
-        self.longest: list[tuple[int, str, int, int] | None] = [None] * len(texts)
+        self.longest: list[tuple[str | None, int, int, int] | None] = [None] * len(texts)
+        self.unnamed = [0] * len(texts)
+        for d, old in enumerate(before or ()):
+            for span in old["spans"]:
+                self.edges[self.starts[d] + span["start"]] += 1
+                self.edges[self.starts[d] + span["stop"]] -= 1
+            self.items[d] = {(-1, k): name for k, name in enumerate(old["items"])}
+            self.unnamed[d] = old["n_items"] - len(old["items"])
+            self.longest[d] = old["longest"] and tuple(old["longest"][k] for k in LONGEST)
 
     def search(self, tests: Tests, block: int) -> None:
         if not tests.places.size:
@@ -187,7 +203,7 @@ class Shard:
             n = int(own.sum())
             steps = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))) if n else np.zeros(0, np.int64)
             names = {name if name is not None else key for key, name in self.items[d].items()}
-            yield size, n, [{"start": a, "stop": b} for a, b in steps.reshape(-1, 2).tolist()], sorted(x for x in names if isinstance(x, str)), len(names), self.longest[d] and dict(zip(("item", "item_word", "doc_word", "words"), self.longest[d], strict=True))
+            yield size, n, [{"start": a, "stop": b} for a, b in steps.reshape(-1, 2).tolist()], sorted(x for x in names if isinstance(x, str)), len(names) + self.unnamed[d], self.longest[d] and dict(zip(LONGEST, self.longest[d], strict=True))
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
@@ -204,26 +220,38 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     spark = docs.sparkSession
     named = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = []
-    for block in range(n := 1 + size // BLOCK_BYTES):
-        rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()
-        tests = Tests([(r.item_id, w) for r in rows if (w := words_of(r.text))], width)
-        blocks.append(spark.sparkContext.broadcast(cloudpickle.dumps(tests)))
+    number = 1 + size // BLOCK_BYTES
+
+    def built(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [(None if pd.isna(name) else name, w) for name, text in zip(rows.item_id, rows.text, strict=True) if (w := words_of(text))]
+        return pd.DataFrame({"block": [rows.block.iloc[0]], "tests": [cloudpickle.dumps(Tests(found, width))]})
+
+    dealt = named.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(number))).repartition(number, "block")
     new = ["n_words", "n_hit", "spans", "items", "n_items", "longest"]
     others = [c for c in docs.columns if c not in new]
     held = docs.select(F.struct(*[c for c in others if c != "text"] or [F.lit(0).alias("_")]).alias("_row"), "text")
-
-    def searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = pickle.loads(blocks[0].value) if len(blocks) == 1 else None
-        for batch in slices(batches, "text", SHARD_BYTES):
-            shard = Shard(batch.column(1).to_pylist())
-            for k, block in enumerate(blocks):
-                tests = only or pickle.loads(block.load_from_path(block._path))
-                shard.search(tests, k)
-            got = list(zip(*shard.found(), strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string()), pa.int64(), pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("words", pa.int64())])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(got, kinds, strict=True))], ["_row", "text", *new])
-
     kind = held.schema["_row"].dataType.simpleString()
-    out = held.mapInArrow(searched, f"_row {kind}, text string, {SPANS}")
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string()), pa.int64(), pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("words", pa.int64())])]
+
+    def search(blocks: list, first: bool) -> Callable:
+        def searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            only = pickle.loads(blocks[0].value) if len(blocks) == 1 else None
+            for batch in slices(batches, "text", SHARD_BYTES):
+                shard = Shard(batch.column(1).to_pylist(), None if first else batch.select(new).to_pylist())
+                for k, block in enumerate(blocks):
+                    shard.search(only or pickle.loads(block.load_from_path(block._path)), k)
+                got = list(zip(*shard.found(), strict=True))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip(got, kinds, strict=True))], ["_row", "text", *new])
+
+        return searched
+
+    blocks, first = [], True
+    for row in dealt.groupBy("block").applyInPandas(built, "block long, tests binary").select("tests").toLocalIterator():
+        if len(blocks) == PASS_BLOCKS:
+            held = stored(held.mapInArrow(search(blocks, first), f"_row {kind}, text string, {SPANS}"), "matches")
+            for block in blocks:
+                block.unpersist()
+            blocks, first = [], False
+        blocks.append(spark.sparkContext.broadcast(bytes(row.tests)))
+    out = held.mapInArrow(search(blocks, first), f"_row {kind}, text string, {SPANS}")
     return out.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in others], *new)

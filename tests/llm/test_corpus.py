@@ -142,9 +142,10 @@ def brute_matches(text, items, width=10):
     return len(words), len(hit), sorted(found), longest
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
-def test_matches_equal_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize("block,number", [(1 << 20, 64), (200, 64), (200, 2)])
+def test_matches_equal_brute_force(spark, block, number, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "PASS_BLOCKS", number)
     monkeypatch.setattr(decontam, "COMPARED", 64)
     random.seed(4)
     vocabulary = ["a", "b", "c", "dd", "é", "E"]
