@@ -192,7 +192,47 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def contained(text, template):
+    split = lambda t: [w for w in re.split("[^0-9a-z]+", "".join(c.lower() if c.isascii() else c for c in t)) if w]
+    parts = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = parts(split(template))
+    return len(want & parts(split(text))) / len(want)
+
+
+def test_licenses_equal_exact_containment(spark):
+    """Whole texts and notices, broken by strange words, cut, reordered and between other words: nothing of 0.8 or more is missed."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: " ".join(f"zq{rng.integers(10**6)}" for _ in range(n))
+    rows = []
+    for name in sorted(licenses.TEMPLATES):
+        for kind in range(6):
+            words = licenses.TEMPLATES[name].split()
+            n = len(words)
+            if kind == 1:  # strange words in between, about as many as 0.8 bears
+                for at in sorted(rng.choice(n, max(1, n // 24), replace=False).tolist(), reverse=True):
+                    words.insert(at, noise(1))
+            elif kind == 2:  # changed words
+                for at in rng.choice(n, max(1, n // 30), replace=False).tolist():
+                    words[at] = noise(1)
+            elif kind == 3:  # cut at the end
+                words = words[: max(5, int(n * rng.uniform(0.7, 1)))]
+            elif kind == 4:  # parts in another order
+                cuts = sorted(rng.choice(n, max(1, n // 40), replace=False).tolist())
+                parts = [words[a:b] for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+                words = [w for k in rng.permutation(len(parts)) for w in parts[k]]
+            elif kind == 5:  # of two lengths of lines, as comments
+                words = [w for k, w in enumerate(words) for w in ([w] if k % 9 else ["\n# ", w])]
+            rows.append((len(rows), f"{noise(20)} {' '.join(words)} {noise(7)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {x.license: x.containment for x in r.licenses} for r in licenses.scan(docs).collect()}
+    want = {d: {n: c for n, t in licenses.TEMPLATES.items() if (c := contained(text, t)) >= 0.8} for d, text in rows}
+    total = sum(len(x) for x in want.values())
+    lost = {d: set(want[d]) - set(got[d]) for d in want if set(want[d]) - set(got[d])}
+    assert total > 150 and sum(map(len, lost.values())) <= 0.005 * total, lost
+    assert all(got[d][n] == pytest.approx(want[d][n]) for d in got for n in got[d])
+
+
 def test_bands_promise_retrieval():
-    assert licenses.bands(0.8) > 0.999
+    assert licenses.bands(0.8) > 0.999 and licenses.bands(1 / 3) > 0.999
     with pytest.raises(ValueError):
         licenses.bands(0.05)
