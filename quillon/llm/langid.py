@@ -154,7 +154,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     """Learns from text and lang of docs (doc_id, text, lang) that are not held out.
 
     Rows with a null lang, id or text teach nothing. `sample` bounds the documents
-    of each language that are clustered; document frequencies count all.
+    of each language that are clustered; of equal rows (id and text) one is enough for
+    that. Document frequencies count all.
     """
     spark = docs.sparkSession
     chance = (F.xxhash64("doc_id", "text") / F.lit(float(1 << 64)) + 0.5).alias("chance")
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     shares = spark.sparkContext.broadcast({lang: sample / n for lang, n in sizes.items()})
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share, total, n = shares.value, np.zeros(DIMS, np.int64), 0
+        share, total, n, taken = shares.value, np.zeros(DIMS, np.int64), 0, set()
         names = ["lang", "chance", "places", "counts", "df", "n"]
         kinds = [pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.int64()]
         for batch in slices(batches, "text", rows=ROWS):
@@ -171,7 +172,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
             total += (grams > 0).sum(0)
             n += len(grams)
             langs, chances = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            if chosen := [i for i, (lang, c) in enumerate(zip(langs, chances, strict=True)) if c < share[lang]]:
+            chosen = []
+            for i, (lang, c) in enumerate(zip(langs, chances, strict=True)):
+                if c < share[lang] and (lang, c) not in taken:  # rows that repeat are one: the sample stays bounded
+                    taken.add((lang, c))
+                    chosen.append(i)
+            if chosen:
                 places = [np.flatnonzero(grams[i]) for i in chosen]
                 rows = [[langs[i] for i in chosen], [chances[i] for i in chosen], places, [grams[i][p] for i, p in zip(chosen, places, strict=True)], [None] * len(chosen), [None] * len(chosen)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names)
@@ -187,7 +193,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     model = Model(list(sizes), np.zeros(0, np.int64), np.zeros((0, DIMS), np.float32), (np.log((total + 1) / (df + 1)) + 1).astype(np.float32), np.zeros((len(sizes), len(KNOTS))))
     owner, found, held = [], [], []
     for i, lang in enumerate(sizes):
-        rows = seen.where(F.col("lang") == lang).select("chance", "places", "counts").orderBy("chance").limit(2 * sample).toArrow()
+        rows = seen.where(F.col("lang") == lang).select("chance", "places", "counts").dropDuplicates(["chance"]).orderBy("chance").limit(2 * sample).toArrow()
         counts = np.zeros((rows.num_rows, DIMS), np.float32)
         for k, (p, c) in enumerate(zip(rows.column(1), rows.column(2), strict=True)):
             counts[k, p.values.to_numpy()] = c.values.to_numpy()

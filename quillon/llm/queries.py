@@ -40,7 +40,7 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
-    return found.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "rejected")
 
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
