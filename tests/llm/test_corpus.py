@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import decontam, embeddings, linededup, mixing, queries, warc
+from quillon.llm import decontam, embeddings, langid, linededup, mixing, queries, warc
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels".split()
@@ -413,6 +413,83 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out} <= {r.doc_id for r in docs.collect()} and len({r.doc_id for r in out}) > 100
 
 
+def plain_pipeline(rows, items, model):
+    """The five stages in plain Python over rows (doc_id, text, source): what is left, and how often each is read."""
+    rejected = [r for _, _, r in model.predict([t for _, t, _ in rows])]
+    rows = [r for r, gone in zip(rows, rejected, strict=True) if not gone]
+    rows = [(d, t, s) for (d, _, s), t in zip(rows, brute_lines([(d, t) for d, t, _ in rows]), strict=True)]
+    parts = []
+    for _, text, _ in rows:
+        words = "".join(c.lower() if c.isascii() else c for c in text).encode().split()
+        parts.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    root = list(range(len(rows)))
+    for i, a in enumerate(parts):
+        for j in range(i):
+            if root[i] != root[j] and (min(len(a), len(parts[j])) >= 0.8 * max(len(a), len(parts[j]))) and len(a & parts[j]) >= 0.8 * len(a | parts[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    groups = defaultdict(list)
+    for i, r in enumerate(root):
+        groups[r].append(rows[i])
+    rows = [min(group, key=lambda r: r[0]) for group in groups.values()]
+    windows = defaultdict(set)
+    for text in items:
+        own = decontam.words_of(text)
+        size = min(10, len(own))
+        windows[size] |= {tuple(own[k : k + size]) for k in range(len(own) - size + 1)} if size else set()
+    clean = []
+    for r in rows:
+        words = decontam.words_of(r[1])
+        if not any(tuple(words[k : k + size]) in found for size, found in windows.items() for k in range(len(words) - size + 1)):
+            clean.append(r)
+    sizes = defaultdict(int)
+    for _, text, source in clean:
+        sizes[source] += len(text.encode().split())
+    return clean, sizes, brute_targets(sizes)
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    base = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    item = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text and len(r.text.split()) >= 12]
+    line = "This very line stands in many of the documents of this test, unchanged."
+    rows = [r.asDict() for r in base if len(r.text or "") < 6000]
+    next_id = 1 + max(r["doc_id"] for r in rows)
+    long = [r for r in rows if len((r["text"] or "").split()) > 120]
+    for k, r in enumerate(long[:40]):
+        words = r["text"].split(" ")
+        if k % 4 == 1:
+            words[50] = "changed"
+        elif k % 4 == 2:
+            words = words[: len(words) // 2]
+        elif k % 4 == 3:
+            words[30:30] = item[k % len(item)].split()
+        rows.append(r | {"doc_id": next_id + k, "text": " ".join(words) + (f"\n{line}" if k % 3 else "")})
+    noise = np.random.default_rng(2)
+    for k in range(6):
+        rows.append(long[k] | {"doc_id": next_id + 100 + k, "text": "".join(noise.choice(list("bcdfghjklmnpqrstvwxz   "), 700)), "lang": None})
+    folder = tmp_path / "tables"
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows], schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(folder)).collect()
+    model = langid.fit(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang"))
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if r.text]
+    clean, sizes, goal = plain_pipeline([(r["doc_id"], r["text"], r["source"]) for r in rows], items, model)
+    texts = {d: t for d, t, _ in clean}
+    assert len(rows) - len(clean) > 30
+    read = defaultdict(int)
+    for r in out:
+        assert texts[r.doc_id] == r.text and r.size == len(r.text.split()) and r.n_chars == len(r.text)
+        read[r.doc_id] += 1
+    for source, target in goal.items():
+        own = [(d, t) for d, t, s in clean if s == source]
+        largest = max((len(t.split()) for _, t in own), default=0)
+        assert abs(sum(read[d] * len(t.split()) for d, t in own) - target) <= largest
+        times = {read[d] for d, t in own if t.split()}
+        assert max(times) - min(times) <= 1 and max(times) <= 3  # whole rounds, and one more for some
+    assert [(r.position, r.doc_id) for r in out] == sorted((r.position, r.doc_id) for r in out)
+
+
 def test_clashing_names(spark):
     """Extra columns named as the operators' own helpers pass unchanged."""
     names = "kind key n fp mark root component_id _id _mark _row _hash _size _bucket _source _b _base _middle _part _of first label least again rows chosen level most".split()

@@ -1,6 +1,7 @@
 """Operators on single texts: PII, languages, toxicity, licenses."""
 
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -114,6 +115,48 @@ def test_languages(spark):
     assert langid.predict(docs, model).where("rejected").count() <= 2
 
 
+def test_languages_equal_a_plain_reading(spark):
+    """Predictions, scores, rejections and document frequencies against n-grams counted one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.select("doc_id", F.substring("text", 1, 400).alias("text"), "lang").orderBy("doc_id").collect()
+    rows += [rows[3], rows[5]]
+    frame = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+
+    def grams(text):
+        plain = b" " + b" ".join(bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in (text or "").lower().encode()).split()) + b" "
+        out = {}
+        for n in (1, 2, 3):
+            for i in range(len(plain) - n + 1):
+                value = int.from_bytes(plain[i : i + n], "big")
+                place = ((value + n) * 2654435761 % (1 << 32)) >> 20
+                out[place] = out.get(place, 0) + 1
+        return out
+
+    taught = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    assert model.languages == sorted({r.lang for r in taught})
+    seen = {}
+    for r in taught:
+        for place in grams(r.text):
+            seen[place] = seen.get(place, 0) + 1
+    idf = [np.log((len(taught) + 1) / (seen.get(place, 0) + 1)) + 1 for place in range(4096)]
+    assert np.allclose(model.idf, idf)
+    for r in langid.predict(frame.limit(60), model).collect():
+        own = grams(r.text)
+        size = np.sqrt(sum((np.log1p(n) * idf[p]) ** 2 for p, n in own.items()))
+        cosines = [(sum(np.log1p(n) * idf[p] * float(c[p]) for p, n in own.items()) / size, model.languages[o]) for c, o in zip(model.centroids, model.owner, strict=True)]
+        best = {lang: max(c for c, x in cosines if x == lang) for lang in model.languages}
+        top = max(best.values())
+        if not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.lang_score, r.rejected) == ("und", 0.0, True)
+            continue
+        if sorted(best.values())[-2] < top - 1e-5:
+            assert r.lang_pred == max(best, key=best.get)
+        assert abs(r.lang_score - 1 / sum(np.exp(25 * (c - top)) for c in best.values())) < 1e-3
+        floor = np.interp(np.log2(max(1, sum(own.values()) / 3)), langid.KNOTS, model.floors[model.languages.index(r.lang_pred)])
+        assert abs(top - floor) < 1e-5 or r.rejected == (top < floor)
+
+
 FINNISH = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
 TURKISH = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."
 
