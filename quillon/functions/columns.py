@@ -70,18 +70,21 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def _lookup(kinds: dict[str, str], key: Column) -> Column:
+    """The kind whose words hold the key; one constant map, however many kinds there are."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kind, words in kinds.items() for word in words.split() for x in (word, kind)]), key)
+
+
 def classify(path: Column) -> Column:
     """The file kind, null if none: exact name, Kconfig, text below a folder `api`, then extension."""
     name = base_name(path)
     extension = F.when(name.rlike(r"^.+\.[^.]*$"), ascii_lower(F.substring_index(name, ".", -1)))
-    out = F.lit(None).cast("string")
-    for kind, words in BY_EXTENSION.items():
-        out = F.when(extension.isin(words.split()), kind).otherwise(out)
-    out = F.when(path.rlike(r"(^|/)api/[^/]+\.txt$"), "ApiTxt").otherwise(out)
-    out = F.when(name.rlike(r"^Kconfig([.-].*)?$"), "Kconfig").otherwise(out)
-    for kind, words in BY_NAME.items():
-        out = F.when(name.isin(words.split()), kind).otherwise(out)
-    return out
+    return F.coalesce(
+        _lookup(BY_NAME, name),
+        F.when(name.rlike(r"^Kconfig([.-].*)?$"), "Kconfig"),
+        F.when(path.rlike(r"(^|/)api/[^/]+\.txt$"), "ApiTxt"),
+        _lookup(BY_EXTENSION, F.coalesce(extension, F.lit(""))),
+    )
 
 
 def looks_binary(content: Column) -> Column:

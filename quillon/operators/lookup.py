@@ -6,7 +6,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator, Sequence
+from heapq import heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +60,11 @@ def by_substring(symbols: DataFrame, text: str, limit: int = 50) -> DataFrame:
     return found.orderBy("tier", "name", *PLACE, "kind").limit(limit)
 
 
+def dictionary(symbols: DataFrame) -> DataFrame:
+    """(name): each name once."""
+    return symbols.select("name").distinct()
+
+
 def fuzzy_score(name: Column, query: str) -> Column:
     """0 for the name itself, then prefixes and holders of the query by length, then others by edit distance."""
     n, q = F.octet_length(name), len(query.encode())
@@ -69,7 +77,7 @@ def fuzzy(symbols: DataFrame, query: str, distance: int = 2, limit: int | None =
 
     Scores are of distinct names, and symbols join them: one name is scored once.
     """
-    names = symbols.select("name").distinct()
+    names = dictionary(symbols)
     near = names.select("name", byte_levenshtein(F.col("name"), F.lit(query)).alias("distance"), fuzzy_score(F.col("name"), query).alias("fuzzy"), substring_tier(F.col("name"), query).alias("tier"))
     near = near.where((F.col("distance") <= distance) | F.col("tier").isNotNull()).drop("tier")
     found = symbols.where(path_filter(F.col("path"), inside, outside)).join(near, "name").withColumn("score", rank_score())
@@ -109,16 +117,45 @@ def byte_of(lines: DataFrame, line: int, col: int = 1) -> DataFrame:
     return lines.where(F.col("line") == line).select("file_id", (F.col("byte_start") + at).cast("long").alias("byte"))
 
 
-def whereis(symbols: DataFrame, places: DataFrame) -> DataFrame:
-    """places (file_id, byte) with the symbol of the smallest span that holds the byte; of equal ones the one that starts later.
+def whereis(symbols: DataFrame, places: DataFrame, columns: Sequence[str] = ("name", "kind", "line", "span_start", "span_end")) -> DataFrame:
+    """places (file_id, byte) with the columns of the symbol of the smallest span that holds the byte; of equal ones the one that starts later.
 
-    A join on the file with a range condition, and an aggregate that keeps one symbol for each place.
+    Spans and places of a file pass by in the order of bytes, the spans that are
+    open in a heap by size: as much work as there are rows, and no pairs.
     """
-    spans = symbols.select("file_id", "span_start", "span_end", "name", "kind", "line")
-    met = places.join(spans, "file_id").where((F.col("byte") >= F.col("span_start")) & (F.col("byte") < F.col("span_end")))
-    order = F.struct(F.col("span_end") - F.col("span_start"), -F.col("span_start"), "name", "kind")
-    best = met.groupBy("file_id", "byte").agg(F.min_by(F.struct("name", "kind", "line", "span_start", "span_end"), order).alias("s"))
-    return best.select("file_id", "byte", "s.*")
+    kinds = {c: symbols.schema[c].dataType.simpleString() for c in columns}
+    spans = symbols.select("file_id", F.col("span_start").cast("long").alias("at"), F.lit(0).alias("place"), F.col("span_end").cast("long").alias("until"), F.col("name").alias("_name"), F.col("kind").alias("_kind"), F.struct(*columns).alias("_own"))
+    asked = places.select("file_id", F.col("byte").cast("long").alias("at")).distinct()
+    asked = asked.select("file_id", "at", F.lit(1).alias("place"), *[F.lit(None).alias(c) for c in ("until", "_name", "_kind", "_own")])
+    files = asked.select("file_id").distinct()
+    both = spans.join(files, "file_id", "left_semi").unionByName(asked).repartition("file_id").sortWithinPartitions("file_id", "at", "place")
+
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, open_ = None, []
+        for batch in batches:
+            rows, own = [], batch.column(6)
+            out: list = []
+            for k, (of, at, place, until, name, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+                if of != file:
+                    file, open_ = of, []
+                if not place:
+                    heappush(open_, (until - at, -at, name, kind, until, id(batch), k, own[k]))
+                    continue
+                while open_ and open_[0][4] <= at:
+                    heappop(open_)
+                if open_:
+                    rows.append((of, at))
+                    out.append(open_[0][-1].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(out, own.type)], ["file_id", "byte", "own"])
+
+    best = both.mapInArrow(found, "file_id long, byte long, own struct<" + ",".join(f"{c}:{t}" for c, t in kinds.items()) + ">")
+    return best.select("file_id", "byte", "own.*")
+
+
+def enclosed(found: DataFrame, symbols: DataFrame, column: str = "fqn_live") -> DataFrame:
+    """found (file_id, byte, ...) with `fqn`: that column of the innermost symbol around each, null outside any."""
+    around = whereis(symbols, found, (column,)).withColumnRenamed(column, "fqn")
+    return found.join(around, ["file_id", "byte"], "left")
 
 
 def enclosing_package(symbols: DataFrame) -> DataFrame:

@@ -70,17 +70,26 @@ def enclosing(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return both.select("_row.*", F.col("_fn.id").alias("caller_id"), F.col("_fn.name").alias("caller"), F.col("_fn.line").alias("caller_line"))
 
 
-def bodies(symbols: DataFrame, name: str) -> DataFrame:
-    """(id, name, file_id, path, body_start, body_end) of the definitions of a name: a body ends where the next function of the file starts."""
-    defs = symbols.where(F.col("name") == name).select("id", "name", "file_id", "path", F.col("byte_start").alias("body_start"))
-    starts = symbols.where(F.col("kind").isin(*FUNCTION_KINDS)).select("file_id", F.col("byte_start").alias("_next"))
-    ends = defs.join(starts, "file_id").where(F.col("_next") > F.col("body_start")).groupBy("id", "body_start").agg(F.min("_next").alias("body_end"))
-    return defs.join(ends, ["id", "body_start"], "left").withColumn("body_end", F.coalesce("body_end", F.lit((1 << 31) - 1)))
+def uses(refs: DataFrame, symbols: DataFrame, name: str, kind: str | None = None) -> DataFrame:
+    """What the definitions of a name use: the uses between a definition's start and the next function's, each once.
+
+    One pass by file in the order of bytes: a use counts if no function started after the
+    last definition of the name before it.
+    """
+    defines, function = F.col("name") == name, F.col("kind").isin(*FUNCTION_KINDS)
+    files = symbols.where(defines).select("file_id").distinct()
+    kept = refs.columns
+    starts = symbols.where(defines | function).select("file_id", "byte_start", F.lit(0).alias("_use"), F.when(defines, F.col("byte_start")).alias("_def"), F.when(function, F.col("byte_start")).alias("_fn"), F.lit(None).alias("_row"))
+    rows = refs.where(same_word("kind", kind)).select("file_id", "byte_start", F.lit(1).alias("_use"), F.lit(None).alias("_def"), F.lit(None).alias("_fn"), F.struct(*kept).alias("_row"))
+    order = Window.partitionBy("file_id").orderBy("byte_start", "_use").rowsBetween(Window.unboundedPreceding, 0)
+    both = starts.unionByName(rows).join(files, "file_id", "left_semi")
+    both = both.withColumn("_def", F.max("_def").over(order)).withColumn("_fn", F.max("_fn").over(order))
+    inside = both.where((F.col("_use") == 1) & (F.col("_def") >= F.coalesce("_fn", F.lit(-1))))
+    return inside.select("_row.*").dropDuplicates(["file_id", "byte_start"])
 
 
-def uses(refs: DataFrame, symbols: DataFrame, name: str, kind: str | None = None) -> DataFrame:
-    """What the definitions of a name use: the uses between a definition's start and the next function's, each once."""
-    inside = bodies(symbols, name).select("file_id", "body_start", "body_end")
-    found = refs.where(same_word("kind", kind)).join(inside, "file_id")
-    found = found.where((F.col("byte_start") >= F.col("body_start")) & (F.col("byte_start") < F.col("body_end")))
-    return found.drop("body_start", "body_end").dropDuplicates(["file_id", "byte_start"])
+def per_file(symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """(file_id, symbols, refs): how many definitions and uses each file with definitions has. Counted before they meet."""
+    counts = refs.groupBy("file_id").agg(F.count("*").alias("refs"))
+    own = symbols.groupBy("file_id").agg(F.count("*").alias("symbols"))
+    return own.join(counts, "file_id", "left").select("file_id", "symbols", F.coalesce("refs", F.lit(0)).cast("long").alias("refs"))

@@ -19,6 +19,10 @@ def kinds(symbols: DataFrame, *by: str) -> DataFrame:
     return symbols.groupBy(*by, "kind").agg(F.count("*").alias("n"))
 
 
+def languages(symbols: DataFrame) -> DataFrame:
+    return symbols.groupBy("lang").agg(F.count("*").alias("n"))
+
+
 def best_of_each(symbols: DataFrame, n: int = 3) -> DataFrame:
     """The n best-ranked symbols of each file, with `place` from 1."""
     place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc(rank_score()), "line", "col", "name"))

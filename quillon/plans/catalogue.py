@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quillon.functions import columns as c
 from quillon.operators import graph, grep, lookup, maintain, refs, summary
 from quillon.rpc import trimmed
+from quillon.sources import tree
 from quillon.sources.corpus import Corpus
+from quillon.sources.extract import extracted
 from quillon.streaming.watch import bursts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,7 +179,7 @@ _PLACES_IN = "select file_id, least(17 * (1 + file_id % 9), size)::bigint as byt
 )
 def whereis_innermost(k: Corpus) -> DataFrame:
     places = k.files().select("file_id", F.least(17 * (1 + F.col("file_id") % 9), F.col("size")).alias("byte"))
-    return lookup.whereis(k.symbols(), places)
+    return lookup.whereis(k.kept("symbols_by_file"), places)
 
 
 @query("select file_id, byte_start + least(11, strlen(ln))::bigint as byte from lines where line = 2")
@@ -238,12 +240,12 @@ used as (select distinct r.file_id, r.byte_start, r.path, r.line, r.col, r.name,
 
 @query(f"{_USES} select path, line, col, name, kind from used")
 def uses_range_join(k: Corpus) -> DataFrame:
-    return refs.uses(k.refs(), k.symbols(), "the").select("path", "line", "col", "name", "kind")
+    return refs.uses(k.kept("refs_by_file"), k.kept("symbols_by_file"), "the").select("path", "line", "col", "name", "kind")
 
 
 @query(f"{_USES} select name, count(*) as n from used where kind = 'type' group by name")
 def uses_kind(k: Corpus) -> DataFrame:
-    return refs.uses(k.refs(), k.symbols(), "the", kind="type").groupBy("name").agg(F.count("*").alias("n"))
+    return refs.uses(k.kept("refs_by_file"), k.kept("symbols_by_file"), "the", kind="type").groupBy("name").agg(F.count("*").alias("n"))
 
 
 _ENCLOSED = """, fns as (select * from symbols where kind in ('fn', 'method', 'ctor')),
@@ -252,19 +254,12 @@ inside as (select r.*, f.id as caller_id, f.name as caller, f.line as caller_lin
 
 @query(f"{_ENCLOSED} select caller, name, count(*) as n, min(caller_line) as first_line from inside group by caller, name")
 def enclosing_asof(k: Corpus) -> DataFrame:
-    return refs.enclosing(k.refs(), k.symbols()).groupBy("caller", "name").agg(F.count("*").alias("n"), F.min("caller_line").alias("first_line"))
+    return refs.enclosing(k.kept("refs_by_file"), k.kept("symbols_by_file")).groupBy("caller", "name").agg(F.count("*").alias("n"), F.min("caller_line").alias("first_line"))
 
 
 @query("select file_id, count(*) as symbols, (select count(*) from refs r where r.file_id = s.file_id) as refs from symbols s group by file_id")
 def symbols_per_file(k: Corpus) -> DataFrame:
-    uses = k.refs().groupBy("file_id").agg(F.count("*").alias("refs"))
-    return k.symbols().groupBy("file_id").agg(F.count("*").alias("symbols")).join(uses, "file_id", "left").select("file_id", "symbols", F.coalesce("refs", F.lit(0)).cast("long").alias("refs"))
-
-
-@query("select distinct split_part(path, '/', 2) || '/' || split_part(path, '/', 4) as x, 1::bigint as n from files")
-def ref_annotation_parts(k: Corpus) -> DataFrame:
-    short = F.concat_ws("/", F.split("path", "/")[1], F.split("path", "/")[3])
-    return k.files().select(short.alias("x"), F.lit(1).cast("long").alias("n")).distinct()
+    return refs.per_file(k.kept("symbols_by_file"), k.kept("refs_by_file"))
 
 
 @query("select split_part(path, '/', 3) || '/' || split_part(path, '/', 4) || ':' || line || case when len(scope_path) > 0 then ' [' || array_to_string(scope_path, '::') || ']' else '' end as note, name from symbols where name = 'der'")
@@ -439,20 +434,19 @@ def grep_cap16(k: Corpus) -> DataFrame:
     return grep.search(k.texts(), "tion", per_file=16, limit=2000).select("path", "line", "col")
 
 
-@query(_PIECES.format(p="token =") + ", b as (select path, byte_start + pos as byte, file_id from found) select b.path, b.byte, s.name from b join symbols s on s.file_id = b.file_id and b.byte >= s.byte_start and b.byte < s.byte_end")
+@query(_PIECES.format(p="token =") + ", b as (select path, byte_start + pos as byte, file_id from found) select b.path, b.byte, s.name as fqn from b left join symbols s on s.file_id = b.file_id and b.byte >= s.byte_start and b.byte < s.byte_end")
 def grep_enclosing(k: Corpus) -> DataFrame:
     found = grep.search(k.texts(), "token =").select("file_id", "path", "byte")
-    return found.join(lookup.whereis(k.symbols(), found.select("file_id", "byte").distinct()), ["file_id", "byte"]).select("path", "byte", "name")
+    return lookup.enclosed(found, k.kept("symbols_by_file"), "name").select("path", "byte", "fqn")
 
 
 # Reports
 
 
-@query("select line, col, name, kind from symbols where path = (select path from files where file_id = 4) order by line, col, name")
+@query("select line, col, name, kind from symbols where path = (select path from files where path like '%/4.txt' order by strlen(path), file_id limit 1) order by line, col, name")
 def outline(k: Corpus) -> DataFrame:
-    symbols = k.symbols()
-    path = k.files().where("file_id = 4").select("path")
-    return symbols.join(path, "path", "left_semi").orderBy("line", "col", "name").select("line", "col", "name", "kind")
+    path = lookup.resolve_path(k.files(), "4.txt").first().path
+    return summary.outline(k.kept("symbols_by_file"), path).select("line", "col", "name", "kind")
 
 
 @query("select file_id, kind, count(*) as n from symbols group by file_id, kind")
@@ -482,7 +476,7 @@ def coverage_by_kind(k: Corpus) -> DataFrame:
 
 @query("select lang, count(*) as n from symbols group by lang")
 def stats_lang(k: Corpus) -> DataFrame:
-    return k.symbols().groupBy("lang").agg(F.count("*").alias("n"))
+    return summary.languages(k.symbols())
 
 
 @query("select kind, count(*) as n from symbols group by kind")
@@ -623,36 +617,25 @@ def binary_sniff(k: Corpus) -> DataFrame:
     return k.texts().select("file_id", c.looks_binary(F.encode(content, "UTF-8")).alias("odd"))
 
 
-@query("select page_id, unnest(regexp_extract_all(html, ' (?:id|class)=\"([^\"]+)\"', 1)) as name from pages", base=False)
+@query("select page_id as file_id, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?(-->|$)', '', 'gs'), '\\s(?:id|class|name)\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) as name from pages", base=False)
 def html_ids(k: Corpus) -> DataFrame:
-    return k.pages().select(F.col("file_id").alias("page_id"), F.explode(F.regexp_extract_all("html", F.lit(' (?:id|class)="([^"]+)"'), F.lit(1))).alias("name"))
-
-
-@query("select target, count(*) as n from (select unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) as target from pages) group by target", base=False)
-def html_links(k: Corpus) -> DataFrame:
-    return k.pages().select(F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("target")).groupBy("target").agg(F.count("*").alias("n"))
-
-
-@query("select conv_id, role, count(*) as turns, first_turn from (select *, min(turn) over (partition by conv_id, role) as first_turn from conversations) group by conv_id, role, first_turn", base=False)
-def scope_turns(k: Corpus) -> DataFrame:
-    first = F.min("turn").over(Window.partitionBy("conv_id", "role"))
-    return k.table("conversations").withColumn("first_turn", first).groupBy("conv_id", "role", "first_turn").agg(F.count("*").alias("turns"))
+    files = k.pages().select("file_id", "path", F.lit("Html").alias("lang"), F.encode("html", "UTF-8").alias("content"))
+    return extracted(files).where("symbol").select("file_id", "name")
 
 
 @query(", names as (select distinct name from symbols) select length(name)::bigint as size, count(*) as n, min(name) as first, max(name) as last from names group by 1")
 def name_dictionary(k: Corpus) -> DataFrame:
-    names = k.symbols().select("name").distinct()
-    return names.groupBy(F.length("name").cast("long").alias("size")).agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
+    return lookup.dictionary(k.symbols()).groupBy(F.length("name").cast("long").alias("size")).agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
 
 
 @query("select lang, count(*) as n from files where size <= 4000 group by lang")
 def size_cap(k: Corpus) -> DataFrame:
-    return k.files().where("size <= 4000").groupBy("lang").agg(F.count("*").alias("n"))
+    return tree.capped(k.files(), 4000).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("select path from files order by relpath limit 25")
 def limit_per_root(k: Corpus) -> DataFrame:
-    return k.files().orderBy("relpath").limit(25).select("path")
+    return tree.limited(k.files(), 25).select("path")
 
 
 # What SQL needs windows for: answers cut to a budget, and bursts of a stream

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.formats import snippet
 from quillon.operators import graph, grep, lookup, refs, summary
 from quillon.sources.tree import Index
 
@@ -33,17 +34,6 @@ def trimmed(rows: list[dict], budget: int) -> list[dict]:
     return rows
 
 
-def table(rows: list[dict], budget: int | None = None) -> str:
-    """Rows as a Markdown table of up to so many bytes."""
-    if not rows:
-        return ""
-    keys = list(rows[0])
-    lines = ["| " + " | ".join(keys) + " |", "|" + " --- |" * len(keys), *("| " + " | ".join(str(r[k]).replace("|", "\\|") for k in keys) + " |" for r in rows)]
-    while budget and len(lines) > 2 and len("\n".join(lines).encode()) > budget:
-        lines.pop()
-    return "\n".join(lines)
-
-
 def fitted(row: dict, budget: int) -> dict:
     """A row of a stream without as many optional fields as it takes to fit so many bytes of JSON."""
     for key in TRIMMED:
@@ -164,10 +154,22 @@ class Server:
         return graph.callgraph(self._refs(args), self._symbols(), args["name"], int(args.get("depth", 3)), int(args.get("max_nodes", 200)), args.get("in"), args.get("not_in"))
 
     def do_uses(self, args: dict) -> DataFrame:
-        return refs.uses(self._refs({}), self._symbols(), args["name"], args.get("kind")).orderBy("path", "line", "col").limit(int(args.get("limit", LIMIT)))
+        return refs.uses(self.index.living("refs_by_file"), self.index.living("symbols_by_file"), args["name"], args.get("kind")).orderBy("path", "line", "col").limit(int(args.get("limit", LIMIT)))
 
     def do_grep(self, args: dict) -> DataFrame:
-        return grep.search(self.index.texts(), self._name(args), bool(args.get("case_insensitive")), args.get("regex"), args.get("lang"), postings=self.index.postings(), per_file=16, **self._filters(args))
+        """With `fqn` each match has the symbol around it; formats `count` and `lines`; `live` searches files as they are now."""
+        postings = None if args.get("live") else self.index.postings()
+        options = self._filters(args)
+        counted = args.get("format") == "count"
+        found = grep.search(
+            self.index.texts(bool(args.get("live"))), self._name(args), bool(args.get("case_insensitive")), args.get("regex"), args.get("lang"),
+            postings=postings, per_file=None if counted else 16, **(options | {"limit": None} if counted else options),
+        )
+        if counted:
+            return grep.counts(found)
+        if args.get("fqn"):
+            found = lookup.enclosed(found, self.index.living("symbols_by_file")).orderBy("path", "byte")
+        return found.select("path", "line") if args.get("format") == "lines" else found
 
     def _file(self, args: dict) -> str:
         found = lookup.resolve_path(self.index.living("files"), self._name(args)).collect()
@@ -175,20 +177,37 @@ class Server:
             raise ValueError(f"no file {self._name(args)}")
         return found[0].path
 
-    def do_outline(self, args: dict) -> DataFrame:
-        return summary.outline(self._symbols(), self._file(args), int(args.get("limit", LIMIT)))
+    def do_outline(self, args: dict) -> DataFrame | list[dict]:
+        """With `snippets` each symbol has so many lines of code from its place on, as they are now."""
+        path = self._file(args)
+        rows = summary.outline(self.index.living("symbols_by_file"), path, int(args.get("limit", LIMIT)))
+        if not (number := int(args.get("snippets", 0))):
+            return rows
+        text = self.read(path)
+        return [r | {"snippet": snippet(text, r["line"], number)} for r in (json.loads(x) for x in rows.toJSON().collect())]
+
+    def read(self, path: str) -> str | None:
+        """What a file holds now; what it held when it was indexed, if it is gone."""
+        if (text := self.index.live_text(path)) is not None:
+            return text
+        row = self.index.texts().where(F.col("path") == path).first()
+        return row.text if row else None
 
     def do_tldr(self, args: dict) -> dict:
         path = self._file(args)
-        own = self._symbols().where(F.col("path") == path)
-        first = summary.first_lines(self.index.texts().where(F.col("path") == path)).first()
-        return {"path": path, "total": own.count(), "kinds": {r.kind: r.n for r in summary.kinds(own).collect()}, "top": [r.name for r in summary.best_of_each(own).orderBy("place").collect()], "first": first.first if first else ""}
+        own = self.index.living("symbols_by_file").where(F.col("path") == path)
+        first = next((x.strip() for x in (self.read(path) or "").split("\n") if x.strip()), "")
+        kinds = {r.kind: r.n for r in summary.kinds(own).orderBy("kind").collect()}
+        return {"path": path, "total": sum(kinds.values()), "kinds": kinds, "top": [r.name for r in summary.best_of_each(own).orderBy("place").collect()], "first": first}
 
     def do_coverage(self, args: dict) -> DataFrame:
         return summary.coverage(self.index.living("files"), self._symbols(), self._name(args))
 
     def do_stats(self, args: dict) -> dict:
-        return {"files": self.index.living("files").count(), "symbols": self._symbols().count(), "refs": self._refs({}).count(), "version": self.index.version()}
+        return {
+            "files": self.index.living("files").count(), "symbols": self._symbols().count(), "refs": self._refs({}).count(), "version": self.index.version(),
+            "by_lang": {r.lang: r.n for r in summary.languages(self._symbols()).orderBy("lang").collect()}, "by_kind": {r.kind: r.n for r in summary.kinds(self._symbols()).orderBy("kind").collect()},
+        }
 
     def do_owner(self, args: dict) -> DataFrame:
         self._file(args)
@@ -196,6 +215,12 @@ class Server:
 
     def do_whereis(self, args: dict) -> DataFrame:
         path, byte, line, col = lookup.parse_place(self._name(args))
-        own = self.index.texts().where(F.col("path") == self._file({"path": path}))
-        places = own.select("file_id", F.lit(byte).cast("long").alias("byte")) if byte is not None else lookup.byte_of(grep.lines(own), line, col)
-        return lookup.whereis(self._symbols(), places)
+        own = lookup.resolve_path(self.index.living("files"), path).select("file_id", "path", "lang").collect()
+        if not own:
+            raise ValueError(f"no file {path}")
+        if byte is None:  # lines as the file has them now
+            text = self.index.spark.createDataFrame([(*own[0], self.read(own[0].path))], "file_id long, path string, lang string, text string")
+            places = lookup.byte_of(grep.lines(text), line, col)
+        else:
+            places = self.index.spark.createDataFrame([(own[0].file_id, byte)], "file_id long, byte long")
+        return lookup.whereis(self.index.living("symbols_by_file"), places, ("name", "kind", "fqn_live", "line", "span_start", "span_end"))

@@ -39,11 +39,14 @@ def listing(spark: SparkSession, roots: dict[str, str], max_bytes: int = MAX_BYT
     out = None
     for root_id, (root, profile) in enumerate(roots.items()):
         base = root.split("://")[-1].removeprefix("file:").rstrip("/")
-        own = None if only is None else [p for p in only if p.startswith(base + "/")]
-        if own == []:
-            continue
-        reader = spark.read.format("binaryFile")
-        found = reader.option("recursiveFileLookup", True).load(root) if own is None else reader.load([root.rstrip("/").removesuffix(base) + re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in own])
+        own, reader = None, spark.read.format("binaryFile")
+        if only is not None:  # those that have gone meanwhile are left out
+            places = [(p, spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/").removesuffix(base) + p)) for p in only if p.startswith(base + "/")]
+            conf = spark.sparkContext._jsc.hadoopConfiguration()
+            own = [root.rstrip("/").removesuffix(base) + re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p, place in places if place.getFileSystem(conf).exists(place)]
+            if not own:
+                continue
+        found = reader.option("recursiveFileLookup", True).load(root) if own is None else reader.load(own)
         # paths come with a scheme: what follows the root's own path is relative
         tail = F.regexp_replace(F.col("path"), "^[a-z]+:(//)?", "")
         relpath = tail.substr(F.lit(len(base) + 2), F.length(tail))
@@ -51,9 +54,9 @@ def listing(spark: SparkSession, roots: dict[str, str], max_bytes: int = MAX_BYT
         for name in SKIPPED[profile]:
             skipped = skipped | F.contains(F.concat(F.lit("/"), relpath), F.lit(f"/{name}/"))
         path = F.concat(F.lit(base + "/"), relpath)
-        rows = found.where((F.col("length") <= max_bytes) & ~skipped & classify(path).isNotNull())
-        wanted = [F.lit(root_id).alias("root_id"), relpath.alias("relpath"), path.alias("path"), classify(path).alias("lang"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
-        rows = rows.select(*wanted, *["content"] * content)
+        rows = found.where(~skipped).select(F.lit(root_id).alias("root_id"), relpath.alias("relpath"), path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *["content"] * content)
+        rows = capped(rows, max_bytes).withColumn("lang", classify(F.col("path"))).where("lang is not null")
+        rows = rows.select("root_id", "relpath", "path", "lang", "size", "mtime", *["content"] * content)
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         out = spark.createDataFrame([], "root_id int, relpath string, path string, lang string, size long, mtime timestamp" + ", content binary" * content)
@@ -70,6 +73,11 @@ def walk(spark: SparkSession, roots: dict[str, str], max_bytes: int = MAX_BYTES,
     return limited(rows, limit) if limit else rows
 
 
+def capped(files: DataFrame, max_bytes: int) -> DataFrame:
+    """Files up to the size; a scan of a tree doesn't open the others."""
+    return files.where(F.col("size") <= max_bytes)
+
+
 def limited(files: DataFrame, limit: int) -> DataFrame:
     """The first files of each root by relative path. Their names are cut to the limit before contents meet them."""
     names = files.select("root_id", "relpath")

@@ -6,6 +6,7 @@ import socket
 
 import pytest
 
+from quillon import formats
 from quillon.__main__ import main
 from quillon.rpc import Server
 from quillon.serve import BUSY, Listener, parse_address, stdio
@@ -83,7 +84,7 @@ def test_commands(spark, folder, capsys, tmp_path):
     assert run("health") == (0, [{"healthy": True, "wrong": []}])
     assert run("outline", "no/such/file.py")[0] == 1
     assert main(["--index", folder, "def", "twice", "--md"], spark) == 0
-    assert "| twice |" in capsys.readouterr().out
+    assert "### `twice`" in capsys.readouterr().out
     assert main(["--index", folder, "def", "twize"], spark) == 0
     assert "twice" in capsys.readouterr().err
     log = tmp_path / "log"
@@ -91,7 +92,8 @@ def test_commands(spark, folder, capsys, tmp_path):
     entry = json.loads(log.read_text())
     assert (entry["cmd"], entry["hits"], entry["shown"], entry["files_total"]) == ("def", 1, 1, 1)
     capsys.readouterr()
-    assert run("modules", "kernel", "/none") == (0, [{"modules": 0}])
+    assert run("modules", "kernel", "/none") == (1, [])  # no kernel tree
+    assert run("modules", "cargo", "/none") == (0, [{"modules": 0}])
     version = run("compact")[1][0]["version"]
     assert run("index-diff", version) == (0, [])
     assert run("diff", str(tmp_path), "--since", "HEAD") == (0, [])
@@ -99,3 +101,50 @@ def test_commands(spark, folder, capsys, tmp_path):
     assert run("def", "twice")[1] == []
     with pytest.raises(ValueError):
         main(["--index", folder, "refresh", "nosign"], spark)
+
+
+def test_forms(spark, tmp_path, capsys):
+    root, folder = tmp_path / "t", str(tmp_path / "i")
+    root.mkdir()
+    (root / "m.py").write_text("def twice(x):\n    return helper(x)\n\n\ndef helper(x):\n    return x + x\n")
+    assert main(["--index", folder, "index", f"generic={root}"], spark) == 0
+    capsys.readouterr()
+    ask = lambda *args: (main(["--index", folder, *args], spark), capsys.readouterr().out)[1]
+    assert ask("def", "twice", "--format", "text").endswith("m.py:1:5  (fn Python)  twice\n")
+    assert ask("def", "twice", "--format", "lines").endswith("/m.py:1\n")
+    assert json.loads(ask("def", "twice", "--format", "json"))["name"] == "twice"
+    shown = ask("def", "helper", "--md")
+    assert "### `helper`  (fn · python)" in shown and "```python\ndef helper(x):\n    return x + x" in shown
+    assert "1 more left out by the budget of 40 bytes" in ask("prefix", "tw", "--md", "--budget", "40")
+    assert ask("ref", "helper", "--format", "count") == '{"count": 1}\n'
+    hit = json.loads(ask("grep", "return helper", "--fqn", "--limit", "1"))
+    assert (hit["line"], hit["fqn"]) == (2, "twice")
+    assert ask("grep", "return x", "--fqn", "--format", "text").strip().endswith("m.py:6:5:     return x + x  [helper]")
+    assert json.loads(ask("grep", "helper", "--format", "count")) == {"hits": 2, "files": 1}
+    assert [x.rsplit("/", 1)[1] for x in ask("grep", "helper", "--format", "lines").splitlines()] == ["m.py:2", "m.py:5"]
+    outline = [json.loads(x) for x in ask("outline", "m.py", "--snippets", "2").splitlines()]
+    assert outline[1]["snippet"] == "def helper(x):\n    return x + x"
+    assert json.loads(ask("whereis", "m.py:2:5"))["fqn_live"] == "twice"
+    for shell in ("bash", "zsh", "fish"):
+        assert "callgraph" in ask("completions", shell)
+    assert ".SH GREP" in ask("man")
+
+
+def test_live_reads_see_the_files_as_they_are(spark, tmp_path, capsys):
+    root, index = tmp_path / "t", str(tmp_path / "i")
+    root.mkdir()
+    (root / "a.py").write_text("def first():\n    pass\n")
+    assert main(["--index", index, "index", f"generic={root}", "--no-refs"], spark) == 0
+    (root / "a.py").write_text("# moved\ndef first():\n    return later()\n")
+    capsys.readouterr()
+    ask = lambda *args: (main(["--index", index, *args], spark), [json.loads(x) for x in capsys.readouterr().out.splitlines()])[1]
+    assert ask("grep", "later") == [] and [r["line"] for r in ask("grep", "later", "--live")] == [3]
+    assert ask("tldr", "a.py")[0]["first"] == "# moved"
+    (root / "a.py").unlink()
+    assert ask("grep", "later", "--live") == [] and ask("tldr", "a.py")[0]["first"] == "def first():"
+
+
+def test_numbers_for_people():
+    assert [formats.human_bytes(n) for n in (0, 1023, 1024, 1536, 5 * 1024**3, 3 * 1024**5)] == ["0.0 B", "1023.0 B", "1.0 KB", "1.5 KB", "5.0 GB", "3072.0 TB"]
+    assert [formats.eta(s) for s in (0, 45, 59.6, 750, 7500, -1, float("inf"))] == ["0s", "45s", "1m00s", "12m30s", "2h05m", "—", "—"]
+    assert formats.cut("é" * 150) == "é" * 100 + "…"
