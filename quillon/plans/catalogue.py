@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import columns as c
 from quillon.operators import graph, grep, lookup, maintain, refs, summary
+from quillon.plans import indexing
 from quillon.rpc import trimmed
 from quillon.sources import tree
 from quillon.sources.corpus import Corpus
@@ -51,11 +52,11 @@ def query(sql: str | None = None, base: bool = True, recursive: bool = False) ->
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | indexing.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | indexing.oracle_sql()
 
 
 SHOWN = ("path", "line", "name", "kind", "score")

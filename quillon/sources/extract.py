@@ -126,6 +126,10 @@ class Language:
     scopes: frozenset[str]
     blank: str = C_BLANK
     members: dict[str, str] = field(default_factory=dict)
+    #: Where a definition's head ends: at its body, or without one; what is in parentheses is passed over.
+    ends: str = r"[{;]"
+    #: Words before a parenthesis that call nothing, besides KEYWORDS.
+    words: frozenset[str] = frozenset()
 
 
 def braces(language: Language) -> Callable[[bytes], list[Row]]:
@@ -134,7 +138,9 @@ def braces(language: Language) -> Callable[[bytes], list[Row]]:
     def extract(content: bytes) -> list[Row]:
         src = Source.of(content, language.blank)
         mask, place = squeezed(src.mask)
-        closes, ends = brackets(mask), re.compile(r"[{;]")
+        closes, ends = brackets(mask), re.compile(language.ends)
+        heads = [m.span() for m in re.finditer(r"^\s*(?:import|package)\b[^;\n]*", mask, re.M)]
+        begins = [a for a, _ in heads]
         found, taken = [], set()
         for pattern, kind in language.symbols:
             for m in re.finditer(pattern, mask, re.M):
@@ -143,6 +149,8 @@ def braces(language: Language) -> Callable[[bytes], list[Row]]:
                     continue
                 taken.add(m.start("name"))
                 opening = ends.search(mask, m.end() - 1)
+                while opening and opening[0][0] == "(":
+                    opening = ends.search(mask, opening.end())
                 body = (opening.start(), closes[opening.start()]) if opening and opening[0] == "{" else (m.end(), m.end())
                 found.append([m.start("name"), m.end() - len(m[0].lstrip()), kind, name, body, (m.groupdict().get("owner") or "").strip(":.")])
         found.sort()
@@ -162,6 +170,8 @@ def braces(language: Language) -> Callable[[bytes], list[Row]]:
                     name, start = (part[0], m.start("names") + part.start()) if part else (m["name"], m.start("name"))
                     if kind in ("call", "ctor", "inherit", "type", "field") and (name in KEYWORDS or start in taken) or name in ("implements", "with", "public", "private", "protected", "virtual"):
                         continue
+                    if name in language.words or kind == "field" and (k := bisect_right(begins, start) - 1) >= 0 and start < heads[k][1]:
+                        continue
                     inside = [n for n, _ in around(start)]
                     child = m.groupdict().get("child")
                     src.add(False, name, kind, place(start), [*inside, child] if child else inside)
@@ -196,6 +206,7 @@ KOTLIN = Language(
     ],
     [(r"^\s*import\s+(?P<name>[\w.]+(?:\.\*)?)", "import"), CALL, FIELD],
     TYPE_SCOPES, members={"fn": "method"},
+    ends=r"\((?:[^()]|\([^()]*\))*\)|[{};=]|\n(?=(?:fun|val|var|class|object|interface|enum|data|sealed|override|private|public|internal|protected|abstract|open|@\w+)\b)",
 )
 C = Language(
     [
@@ -225,7 +236,7 @@ GO = Language(
     [
         (rf"^func\s*\([^)]*\)\s*(?P<name>{WORD})", "method"), (rf"^func\s+(?P<name>{WORD})", "fn"), (rf"^type\s+(?P<name>{WORD})", "type"), (rf"^const\s+(?P<name>{WORD})", "const"), (rf"^var\s+(?P<name>{WORD})", "var"),
     ],
-    [CALL], frozenset(), r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|`[^`]*`",
+    [CALL], frozenset(), r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|`[^`]*`", words=frozenset("import const var type func struct interface select defer go range".split()),
 )
 TYPESCRIPT = Language(
     [
