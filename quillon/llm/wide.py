@@ -14,9 +14,14 @@ pigeonring filter over 16 segments of 64 bits (see simhash.py) before the full
 Hamming check, since with over 100 bits of radius no segment is equal for sure.
 
 Only components are wanted, so a bucket of over BLOCK sets is not paired. All its
-sets are compared with one of them, in blocks; those that it does not link to are
-then compared with all sets of the bucket, in blocks. What is left out are pairs
-of which both sets are linked to the same one, so no component falls apart.
+sets are compared with one of them, the centre, in blocks. What it links needs no more
+comparison with each other. Of the rest, sets whose similarity to the centre may be as
+low as the threshold allows for a neighbour of what it links (2 s - 1 for s: one
+minus the similarity is a distance) are compared with all sets of the bucket; the others
+are too far from all that the centre links, and are compared with the rest alone. So no
+component falls apart, and a group of near copies costs as much as it has sets;
+what is quadratic is the number of sets that share a bucket and are not linked to its
+centre.
 """
 
 from __future__ import annotations
@@ -242,6 +247,9 @@ def _prints(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SEGMENTS).T
 
 
+SIFTED = "part long, side int, node long, n long, fp binary"
+
+
 def _sifter(similarity: float):
     """Of rows (part, side, node, n, fp, few) sorted by part, those in a pair of their part that is worth comparing.
 
@@ -296,12 +304,14 @@ def links(sets: DataFrame, similarity: float = 0.8, whole: Callable[[DataFrame],
     once = sizes.groupBy("rows", "x", "s", "centre").agg(F.min("key").alias("key")).select("key", "rows", "centre")
     met = stored(entries.join(redealt(once, "key"), "key"), "buckets")
 
-    def check(dealt: DataFrame) -> DataFrame:
-        """dealt: (node, side, and columns of the part), each part sorted into one task."""
+    def sorted_parts(dealt: DataFrame) -> DataFrame:
         of = [c for c in dealt.columns if c not in ("node", "side")]
         ready = dealt.join(body, "node").withColumn("part", F.xxhash64(*of)).repartition("part").sortWithinPartitions("part")
-        met = ready.select("part", "side", "node", "n", "fp", "few").mapInArrow(_sifter(similarity), "part long, side int, node long, n long, fp binary")
-        met = stored(met, "candidates")
+        return ready.select("part", "side", "node", "n", "fp", "few")
+
+    def check(dealt: DataFrame) -> DataFrame:
+        """dealt: (node, side, and columns of the part), each part sorted into one task."""
+        met = stored(sorted_parts(dealt).mapInArrow(_sifter(similarity), SIFTED), "candidates")
         ready = met.join(whole(met.select("node").distinct()), "node").repartition("part").sortWithinPartitions("part")
         return ready.select("part", "side", "node", "n", "fp", "hashes").mapInArrow(_verifier(similarity), "u long, v long")
 
@@ -309,15 +319,25 @@ def links(sets: DataFrame, similarity: float = 0.8, whole: Callable[[DataFrame],
     hot = met.where(F.col("rows") > BLOCK).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     if hot.isEmpty():
         return near
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    block = lambda n, *salt: F.pmod(F.xxhash64("node", *salt), F.col(n)).cast("int")
     centres = hot.where("node = centre").select("node", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
-    star = stored(check(centres.unionByName(hot.where("node <> centre").select("node", "key", block.alias("block"), F.lit(1).alias("side")))), "links")
+    around = centres.unionByName(hot.where("node <> centre").select("node", "key", block("blocks").alias("block"), F.lit(1).alias("side")))
+    star = stored(check(around), "links")
     tied = star.select(F.col("u").alias("centre"), F.col("v").alias("node")).distinct()
-    rest = stored(hot.where("node <> centre").join(tied, ["centre", "node"], "left_anti").select("node", "key", "blocks"), "rest")
-    counts = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("queries"))
-    asking = rest.join(redealt(counts, "key"), "key").select("node", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("queries")).cast("int").alias("query"), F.lit(0).alias("side"))
-    asked = hot.join(redealt(counts, "key"), "key").select("node", "key", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("query"), F.lit(1).alias("side"))
-    return near.union(star).union(stored(check(asking.unionByName(asked)), "links"))
+    close = stored(sorted_parts(around).mapInArrow(_sifter(max(0.0, 2 * similarity - 1)), SIFTED).where("side = 1").select("part", "node").withColumn("close", F.lit(True)), "close")
+    rest = hot.where("node <> centre").join(tied, ["centre", "node"], "left_anti").select("node", "key", "blocks").withColumn("part", F.xxhash64("key", block("blocks").alias("block")))
+    rest = stored(rest.join(close, ["part", "node"], "left").select("node", "key", "blocks", F.coalesce("close", F.lit(False)).alias("close")), "rest")
+    counts = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.ceil(F.count_if("close") / BLOCK).cast("int").alias("queries"))
+    counts = bounded(stored(counts, "counts"))
+    every = rest.join(counts, "key")
+    # the rest with itself: of two blocks the lower is side 0; a block with itself side 2
+    own = every.withColumn("own", block("parts", F.lit(1))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select("node", "key", F.lit(0).alias("kind"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") == F.col("with"), 2).when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"))
+    # what is close to the centre with what the centre links
+    asking = every.where("close").select("node", "key", F.lit(1).alias("kind"), block("queries", F.lit(1)).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
+    asked = hot.join(counts.where("queries > 0"), "key").join(rest.select("node", "key"), ["node", "key"], "left_anti")
+    asked = asked.select("node", "key", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"))
+    return near.union(star).union(stored(check(own.unionByName(asking).unionByName(asked)), "links"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:

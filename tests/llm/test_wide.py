@@ -91,6 +91,35 @@ def test_hot_buckets_keep_their_components(spark, monkeypatch):
     assert {r.node for r in nodes} == set(range(40)) and {r.root for r in nodes} == {0}
 
 
+def test_hot_buckets_of_mixed_sets(spark, monkeypatch):
+    """One bucket of near copies of a set, of sets at all distances from it with copies of their own, and of strangers: components as of all pairs."""
+    monkeypatch.setattr(wide, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    base = np.arange(1000, 1060, dtype=np.uint64)
+    sets = [base]
+    for k in range(60):
+        own = base.copy()
+        out = rng.choice(60, rng.integers(0, 1 + k), replace=False)
+        own[out] = rng.integers(10**6, 10**9, len(out)).astype(np.uint64)
+        sets.append(np.sort(own))
+        if k % 3 == 0:  # a near copy of this one
+            near = own.copy()
+            near[:2] = rng.integers(10**6, 10**9, 2).astype(np.uint64)
+            sets.append(np.sort(near))
+    sets = list({s.tobytes(): s for s in sets}.values())
+    rows = [(i, len(s), bytearray(wide.fingerprint(s).tobytes()), s.astype(np.int64).tolist(), [7]) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "node long, n long, fp binary, few array<long>, keys array<long>")
+    got = {r.node: r.root for r in wide.connected_components(wide.links(frame)).collect()}
+    truth = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(np.intersect1d(a, sets[j]))
+            if n >= 0.8 * (len(a) + len(sets[j]) - n) and truth[i] != truth[j]:
+                low, high = sorted((truth[i], truth[j]))
+                truth = [low if x == high else x for x in truth]
+    assert [got.get(i, i) for i in range(len(sets))] == truth and len(set(truth)) > 10
+
+
 def test_nulls_and_empty(spark):
     docs = spark.createDataFrame([(None, "a"), (None, "A"), (3, None), (3, ""), (9, "a")], "doc_id long, text string")
     rows = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in wide.near_duplicates(docs).collect())
