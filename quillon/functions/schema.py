@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 FILES = "file_id long, root_id int, relpath string, path string, lang string, size long, digest string"
-CONTENTS = "file_id long, content binary"
+CONTENTS = "file_id long, path string, lang string, content binary"
 SYMBOLS = (
     "id string, name string, fqn_index string, fqn_live string, kind string, file_id long, byte_start int, byte_end int, "
     "span_start int, span_end int, line int, col int, scope_path array<string>, lang string"

@@ -18,6 +18,8 @@ from quillon.functions.columns import path_filter, quoted, same_word
 from quillon.functions.patterns import is_regex, number, required, trigrams, variants
 
 SHOWN_BYTES = 200
+#: Candidate files up to which a scan is told their numbers, which files of a sorted table can be skipped by.
+TOLD = 1000
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -135,7 +137,8 @@ def search(
     if postings is not None:
         files = regex_candidates(postings, pattern, ignore_case) if as_regex else candidates(postings, pattern, ignore_case)
         if files is not None:
-            narrowed = narrowed.join(files, "file_id", "left_semi")
+            told = [r.file_id for r in files.limit(TOLD + 1).collect()]
+            narrowed = narrowed.where(F.col("file_id").isin(told)) if len(told) <= TOLD else narrowed.join(files, "file_id", "left_semi")
     plain = not as_regex and not ignore_case
     holds = F.col("text").contains(pattern) if plain else F.col("text").rlike(("(?m)" + expression))
     met = lines(narrowed.where(holds)).where(F.col("ln").contains(pattern) if plain else F.col("ln").rlike(expression))

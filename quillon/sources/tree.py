@@ -236,13 +236,12 @@ class Index:
 
     def texts(self, live: bool = False) -> DataFrame:
         """(file_id, path, lang, text). live: as the files are now; those that are gone keep no row."""
-        files = self.living("files").select("file_id", "path", "lang")
         if live:
+            files = self.living("files").select("file_id", "path", "lang")
             paths = [r.path for r in files.select("path").toLocalIterator()]
             now = listing(self.spark, self.roots(), content=True, only=paths if len(paths) <= DIRECT else None)
             return files.join(now.select("path", "content"), "path").select("file_id", "path", "lang", F.decode("content", "UTF-8").alias("text"))
-        joined = self.living("contents").join(files, "file_id")
-        return joined.select("file_id", "path", "lang", F.decode("content", "UTF-8").alias("text"))
+        return self.living("contents").select("file_id", "path", "lang", F.decode("content", "UTF-8").alias("text"))
 
     def live_text(self, path: str) -> str | None:
         """What one indexed file holds now; None if it is gone."""
@@ -368,11 +367,10 @@ class Index:
         if walked is not None:
             self._write(in_order(walked), segment, "staged")
         files = numbered(self._read(segment, "staged"), first)
-        out = {"contents": self._write(files.select("file_id", "content"), segment, "contents"), "files": self._write(files.drop("content"), segment, "files")}
-        files = self._read(segment, "files")
-        size = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        out = {"contents": self._write(files.select("file_id", "path", "lang", "content"), segment, "contents"), "files": self._write(files.drop("content"), segment, "files")}
+        size = self._read(segment, "files").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         tasks = max(self.spark.sparkContext.defaultParallelism, size // TASK_BYTES)
-        held = files.select("file_id", "path", "lang").join(self._read(segment, "contents"), "file_id")
+        held = self._read(segment, "contents")
         skip = list(skip)
         if skip:
             held = held.withColumn("lang", F.when(F.col("path").isin(skip), F.lit("skipped")).otherwise(F.col("lang")))
