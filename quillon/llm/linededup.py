@@ -216,7 +216,8 @@ class LineIndex:
         often = F.col("documents") >= self.documents
         repeated = counts.where(often).select("key")
         # a shard's keys meet in one task: as many shards as keep them to about SHARD_KEYS
-        while repeated.count() > self.shards * SHARD_KEYS:
+        number = repeated.count()
+        while number > self.shards * SHARD_KEYS:
             self.shards *= 2
         now = repeated.select("key", self._shard())
         if self.shards != old.shards or old.filters.isEmpty():

@@ -67,6 +67,48 @@ def test_disguises_map_back(text, kind, part):
     assert [(k, text[a:b]) for k, a, b in added] == [(kind, part)]
 
 
+SPELLED = dict(zip("0123456789", "zero one two three four five six seven eight nine".split(), strict=True)) | {"+": "plus", ".": "dot"}
+DISGUISES = {
+    "brackets": lambda s: s.replace("@", " [at] ").replace(".", " [dot] "),
+    "words": lambda s: s.replace("@", " at ").replace(".", " dot "),
+    "capitals": lambda s: s.replace("@", " AT ").replace(".", " DOT "),
+    "spelled": lambda s: " ".join(SPELLED.get(c, c) for c in s if c != " "),
+    "look-alikes": lambda s: s.translate(str.maketrans("aeopc", "аеорс")),
+    "full width": lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isalnum() else c for c in s),
+    "invisible": lambda s: s[:2] + "\u200b" + s[2:5] + "\u200d" + s[5:],
+    "letters": lambda s: s.replace("0", "O").replace("1", "l"),
+}
+USED = {"email": "brackets words capitals look-alikes invisible", "ip": "brackets words spelled letters", "card": "spelled invisible letters", "phone": "spelled invisible"}
+
+
+@pytest.mark.parametrize("kind,way", [(k, w) for k, ways in USED.items() for w in re.findall("look-alikes|full width|[a-z]+", ways)] + [(k, "full width") for k in USED])
+def test_recall_by_disguise(kind, way):
+    """Made-up identifiers, found with exactly their span."""
+    rng = np.random.default_rng(3)
+    word, digits = lambda: str(rng.choice("alpha river stone quiet maple".split())), lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def made():
+        if kind == "email":
+            return f"{word()}{rng.choice(['.', '_', '-'])}{word()}@{word()}.{rng.choice(['com', 'org', 'co.uk'])}"
+        if kind == "ip":
+            return ".".join(map(str, rng.integers(0, 256, 4)))
+        if kind == "phone":
+            return f"+{rng.integers(1, 99)} {digits(3)} {digits(3)} {digits(4)}"
+        start = digits(15)
+        whole = start + next(str(c) for c in range(10) if pii.luhn(start + str(c)))
+        return " ".join(whole[i : i + 4] for i in range(0, 16, 4))
+
+    hit = n = 0
+    while n < 100:
+        shown = DISGUISES[way](plain := made())
+        if shown == plain:
+            continue
+        n += 1
+        text = f"please note {shown} for later, thanks"
+        hit += any(k == kind and text[a:b] == shown for part in pii.detector()(text) for k, a, b in part)
+    assert hit >= (80 if (kind, way) == ("ip", "letters") else 98), hit
+
+
 def test_plain_spans_stay_and_clean_texts_have_none():
     text = "bob@x.org, +1 555 123 4567 and eve (at) y (dot) net"
     base, added = pii.detector()(text)
