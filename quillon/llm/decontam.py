@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import slices, stored
+from quillon.llm.shared import handing_back, slices, stored
 
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Text of test items, and of training documents, that a worker holds as arrays at once.
@@ -248,10 +248,10 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     blocks, first = [], True
     for row in dealt.groupBy("block").applyInPandas(built, "block long, tests binary").select("tests").toLocalIterator():
         if len(blocks) == PASS_BLOCKS:
-            held = stored(held.mapInArrow(search(blocks, first), f"_row {kind}, text string, {SPANS}"), "matches")
+            held = stored(held.mapInArrow(handing_back(search(blocks, first)), f"_row {kind}, text string, {SPANS}"), "matches")
             for block in blocks:
                 block.unpersist()
             blocks, first = [], False
         blocks.append(spark.sparkContext.broadcast(bytes(row.tests)))
-    out = held.mapInArrow(search(blocks, first), f"_row {kind}, text string, {SPANS}")
+    out = held.mapInArrow(handing_back(search(blocks, first)), f"_row {kind}, text string, {SPANS}")
     return out.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in others], *new)

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import SLICE_BYTES, remainder, slices, stored
+from quillon.llm.shared import SLICE_BYTES, handing_back, remainder, slices, stored
 
 DIMS = 4096
 GRAMS = (1, 2, 3)
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([None, None, None, None, total, n], kinds, strict=True)], names)
 
     schema = "lang string, chance double, places array<int>, counts array<float>, df array<long>, n long"
-    seen = stored(taught.select("text", "lang", chance).mapInArrow(counted, schema), "grams")
+    seen = stored(taught.select("text", "lang", chance).mapInArrow(handing_back(counted), schema), "grams")
     df = np.zeros(DIMS)
     for r in seen.where("n is not null").select(F.posexplode("df").alias("place", "df")).groupBy("place").agg(F.sum("df").alias("df")).collect():
         df[r.place] = r.df
@@ -237,5 +237,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(got, (pa.string(), pa.float64(), pa.bool_()), strict=True))], ["_row", "text", *new])
 
     kind = held.schema["_row"].dataType.simpleString()
-    out = held.mapInArrow(judged, f"_row {kind}, text string, lang_pred string, lang_score double, rejected boolean")
+    out = held.mapInArrow(handing_back(judged), f"_row {kind}, text string, lang_pred string, lang_score double, rejected boolean")
     return out.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in others], *new)

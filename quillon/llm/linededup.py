@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from quillon.llm.shared import bounded, stored
+from quillon.llm.shared import bounded, handing_back, stored
 
 BLANKS = " \t\n\r\x0b\x0c"
 SEATS = 4
@@ -111,7 +111,7 @@ def _refs(docs: DataFrame, least: int) -> DataFrame:
                 owners += [doc] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64())], ["key", "doc_id"])
 
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(listed, "key binary, doc_id long")
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(handing_back(listed), "key binary, doc_id long")
     return lines.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
 
 
@@ -249,7 +249,7 @@ class LineIndex:
         nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("key", "binary"), ("doc_id", "long"), ("n", "long"))]
         copies = self.filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "bits", *nothing)
         dealt = lines.unionByName(copies).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("bits").isNull())
-        return dealt.mapInArrow(_let_through, REFS)
+        return dealt.mapInArrow(handing_back(_let_through), REFS)
 
     def drops(self, refs: DataFrame) -> DataFrame:
         """(doc_id, drop): for each document that loses lines their keys."""
@@ -290,7 +290,7 @@ class LineIndex:
                 )
 
         kind = joined.schema["_row"].dataType.simpleString()
-        out = joined.mapInArrow(cut, f"_row {kind}, text string, n_lines long, n_dropped long, kept_sha256 string")
+        out = joined.mapInArrow(handing_back(cut), f"_row {kind}, text string, n_lines long, n_dropped long, kept_sha256 string")
         new = {c: F.col(c) for c in ("text", "n_lines", "n_dropped", "kept_sha256")} | {c: F.col("_row").getField(c) for c in others}
         order = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_sha256")] + ["n_lines", "n_dropped", "kept_sha256"]
         return out.select(*[new[c].alias(c) for c in order])

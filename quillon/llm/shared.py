@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Rows up to which a table of ids and numbers counts as small enough to broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows of an Arrow batch between Spark and a Python worker: texts of some kilobytes make batches of a few megabytes.
+BATCH_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,10 +40,30 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read from there: its lineage ends at replicated files."""
     path = new_path(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS: a batch is held several times over, on both sides."""
+    if int(spark.conf.get(_ARROW_ROWS)) > BATCH_ROWS:
+        spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
+
+
+def handing_back(run: Callable) -> Callable:
+    """A function for mapInArrow that, when a task ends, gives the worker's free memory back to the system; workers live on."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of GNU's library alone
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """A stored table of ids and numbers, marked for broadcast if it has up to BROADCAST_ROWS rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quillon.llm.components import connected_components
-from quillon.llm.shared import bounded, pieces, redealt, slices, stored
+from quillon.llm.shared import bounded, handing_back, pieces, redealt, slices, stored
 
 SEGMENTS = 16
 BITS = 64 * SEGMENTS
@@ -313,7 +313,7 @@ def links(sets: DataFrame, similarity: float = 0.8, whole: Callable[[DataFrame],
         """dealt: (node, side, and columns of the part), each part sorted into one task."""
         met = stored(sorted_parts(dealt).mapInArrow(_sifter(similarity), SIFTED), "candidates")
         ready = met.join(whole(met.select("node").distinct()), "node").repartition("part").sortWithinPartitions("part")
-        return ready.select("part", "side", "node", "n", "fp", "hashes").mapInArrow(_verifier(similarity), "u long, v long")
+        return ready.select("part", "side", "node", "n", "fp", "hashes").mapInArrow(handing_back(_verifier(similarity)), "u long, v long")
 
     near = stored(check(met.where(F.col("rows") <= BLOCK).select("node", "key", F.lit(2).alias("side"))), "links")
     hot = met.where(F.col("rows") > BLOCK).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, se
     Other columns of docs are not read.
     """
     schema = "doc_id long, mark long, node long, n long, fp binary, few array<long>, keys array<long>"
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(_hashed(width, seed), schema), "fingerprints")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(handing_back(_hashed(width, seed)), schema), "fingerprints")
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "mark")).alias("one"), *[F.first(c).alias(c) for c in ("n", "fp", "few", "keys")])
     least = stored(least, "distinct")
 
@@ -362,7 +362,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, se
         wanted = bounded(stored(wanted, "wanted"))
         texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").withColumn("_hash", F.xxhash64("text"))
         texts = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark"))).select("node", "text")
-        made = texts.mapInArrow(_whole(width, seed), "node long, hashes array<long>")
+        made = texts.mapInArrow(handing_back(_whole(width, seed)), "node long, hashes array<long>")
         return stored(made.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
 
     nodes = connected_components(links(least, similarity, whole))
