@@ -1,6 +1,7 @@
 """Trees indexed from disk, and the questions asked of them."""
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -306,6 +307,66 @@ def test_reach(spark):
     assert {tuple(r) for r in graph.reach(ids, cycle).collect()} == {(a, b) for a in range(3) for b in range(3)} | {(3, 3)}
 
 
+def plain_reach(n, edges):
+    next_ = {a: {b for x, b in edges if x == a and b < n} for a in range(n)}
+    out = set()
+    for a in range(n):
+        seen, todo = {a}, [a]
+        while todo:
+            more = next_[todo.pop()] - seen
+            seen |= more
+            todo += more
+        out |= {(a, b) for b in seen}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reach_of_cyclic_graphs(spark, monkeypatch, seed):
+    """Rings that lead into rings, rings with chords, chains between, loops, repeats and unknown modules."""
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    rng = random.Random(seed)
+    n = 60
+    at = rng.sample(range(n), n)
+    rings = [at[0:13], at[13:20], at[20:22], at[22:40]]
+    edges = [(r[i - 1], r[i]) for r in rings for i in range(len(r))]
+    edges += [(rings[0][3], at[40]), (at[40], at[41]), (at[41], rings[1][2]), (rings[1][5], rings[2][0]), (at[50], rings[3][4]), (rings[3][1], rings[3][9])]
+    edges += [(at[i], at[i + 1]) for i in range(42, 49)] + [(at[55], at[55]), (at[56], 99), (98, at[56])]
+    edges += [(rng.randrange(n), rng.randrange(n)) for _ in range(6 * seed)] + edges[:5]
+    got = graph.reach(spark.createDataFrame([(i,) for i in range(n)], "module_id long"), spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert len(got) == len(set(got))
+    assert {tuple(r) for r in got} == plain_reach(n, edges)
+
+
+def test_reach_of_a_ring_keeps_no_pairs(spark, monkeypatch):
+    """All that is written between the rounds grows with the modules, not with the pairs or their cube."""
+    kept = []
+
+    def counting(cut):
+        def counted(*tables):
+            out = cut(*tables)
+            kept.append(out.count())
+            return out
+
+        return counted
+
+    monkeypatch.setattr(graph, "cut", counting(graph.cut))
+    monkeypatch.setattr(graph, "stored", counting(graph.stored))
+    n = 300
+    ids = spark.range(n).withColumnRenamed("id", "module_id")
+    ring = ids.selectExpr("module_id as src", f"(module_id + 7) % {n} as dst")
+    got = graph.reach(ids, ring)
+    assert (got.count(), got.distinct().count()) == (n * n, n * n)
+    assert max(kept) <= n
+
+
+def test_ends_of_the_paths_of_a_chain(spark):
+    n = 40
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long")
+    got = sorted(tuple(r) for r in graph.doubled(chain).collect())
+    assert got == [(a, b) for a in range(n) for b in range(a + 1, n)]
+
+
 def test_narrow_hint():
     assert lookup.narrow_hint(["/a/b/c.x", "/a/b/d/e.x"]) == "/a/b"
     assert lookup.narrow_hint([]) == ""
