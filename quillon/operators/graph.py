@@ -151,7 +151,7 @@ def cycles(edges: DataFrame) -> DataFrame | None:
     Of each group that is left, some module's smallest module upstream and downstream are
     the same: these are a whole group. Other groups lie in one class of both each.
     """
-    found, left, n = None, stored(edges), edges.count()
+    found, left, n = None, edges, edges.count()
     while n:
         before, left = n, stored(_trimmed(left), left)
         n = left.count()
