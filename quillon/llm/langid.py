@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import SLICE_BYTES, handing_back, remainder, slices, stored
+from quillon.llm.shared import handing_back, remainder, slices, stored
 
 DIMS = 4096
 GRAMS = (1, 2, 3)
@@ -36,9 +36,10 @@ KNOTS = np.arange(2, 14)
 SLACK, UNDER = 0.85, 0.002
 #: The length (log2) from which on texts have one floor at most.
 LONG = 8
-#: Texts whose vectors a worker holds at once.
-ROWS = 512
+#: Texts whose vectors a worker holds at once, and bytes of text whose n-grams it counts at once: with DIMS, each byte takes over 60 in arrays.
+ROWS, SLICE_BYTES = 128, 256 << 10
 LETTER = re.compile(r"[^\W\d_]")
+RUN = re.compile(rb"  +")
 PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -51,7 +52,7 @@ def gram_counts(texts: list[str | None]) -> np.ndarray:
 
     Letters in lower case, all else as a space, runs of spaces as one, one at both ends.
     """
-    plain = [b" " + b" ".join((t or "").lower().encode("utf-8", "replace").translate(PLAIN).split()) + b" " for t in texts]
+    plain = [b" " + RUN.sub(b" ", (t or "").lower().encode("utf-8", "replace").translate(PLAIN)).strip(b" ") + b" " for t in texts]
     out = np.zeros((len(texts), DIMS), np.float32)
     first = 0
     while first < len(plain):  # texts together, or a long text in parts

@@ -1,6 +1,7 @@
 """Operators on single texts: PII, languages, toxicity, licenses."""
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -145,6 +146,16 @@ def test_gram_counts_of_long_texts(monkeypatch):
     assert whole[0].sum() == sum(len(plain) - n + 1 for n in langid.GRAMS)
 
 
+def test_languages_are_told_in_little_memory():
+    """A worker's arrays for a batch and for a long text; two workers share an executor with the JVM."""
+    model = langid.Model(["a"], np.zeros(4, np.int64), np.ones((4, langid.DIMS), np.float32), np.ones(langid.DIMS, np.float32), np.zeros((1, len(langid.KNOTS))))
+    for texts in (["some words of a text " * 100] * langid.ROWS, ["ab " * 700_000]):
+        tracemalloc.start()
+        list(model.predict(texts))
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+        tracemalloc.stop()
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op4_langid(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
